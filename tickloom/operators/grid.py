@@ -11,6 +11,7 @@ from functools import reduce
 from operator import and_
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DateType
 
 from ..functions.clock import (
     MINUTE,
@@ -93,8 +94,15 @@ def signature_full_join(
 
 
 def date_semi_join(df: DataFrame, dates: DataFrame, on: Sequence[str] = ("index_date",)) -> DataFrame:
-    """Rows whose date also occurs in ``dates``."""
-    return df.join(dates.select(*on).distinct(), list(on), "left_semi")
+    """Rows whose date also occurs in ``dates``.
+
+    Distinct dates alone are few, 366 a year at most, and are broadcast; with more
+    columns the choice is left to the measured size.
+    """
+    wanted = dates.select(*on).distinct()
+    if [wanted.schema[c].dataType for c in on] == [DateType()]:
+        wanted = F.broadcast(wanted)
+    return df.join(wanted, list(on), "left_semi")
 
 
 def pad_session(

@@ -43,9 +43,9 @@ def har_fit(features: DataFrame) -> DataFrame:
     driver solves a system of four unknowns.
     """
     inputs = list(HAR_SPANS)
-    complete = features.dropna(subset=[*inputs, "ln_rv_next"])
-    rows = VectorAssembler(inputCols=inputs, outputCol="x").transform(complete)
-    fit = LinearRegression(featuresCol="x", labelCol="ln_rv_next", solver="normal").fit(rows)
+    complete = features.select(*inputs, "ln_rv_next").dropna()
+    rows = VectorAssembler(inputCols=inputs, outputCol="_inputs").transform(complete)
+    fit = LinearRegression(featuresCol="_inputs", labelCol="ln_rv_next", solver="normal").fit(rows)
     estimates = [("(Intercept)", float(fit.intercept))]
     estimates += [(name, float(b)) for name, b in zip(inputs, fit.coefficients)]
     return features.sparkSession.createDataFrame(estimates, "term string, estimate double")

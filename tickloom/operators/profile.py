@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import equal_width_bin
 from ..session import stage
-from .ranking import exact_quantiles, quantiles_of_ranked, ranked_values
+from .ranking import quantiles_of_ranked, ranked_values, with_names
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -68,16 +68,50 @@ def edges(df: DataFrame, position: Sequence[str]) -> DataFrame:
     return ends.unpivot([], ["first", "last"], "edge", "_row").select("edge", "_row.*")
 
 
+def value_moments(ranked: DataFrame, bins: int = 1) -> DataFrame:
+    """Count, mean, range, distinct values, sample deviation and equal-width
+    histogram per column, from value counts.
+
+    Deviations are taken from the mean, not from a sum of squares, so the counts
+    are read twice: for the mean and range, and for what depends on them.
+    """
+    v, n = F.col("value"), F.col("copies")
+    sums = ranked.groupBy("column").agg(
+        F.sum(n).alias("_n"),
+        (F.sum(v * n) / F.sum(n)).alias("_mean"),
+        F.min(v).alias("_low"),
+        F.max(v).alias("_high"),
+        F.count(F.lit(1)).alias("_unique"),
+    )
+    placed = ranked.join(F.broadcast(sums), "column").withColumn(  # one row per column
+        "_bin", equal_width_bin(v, F.col("_low"), F.col("_high"), bins)
+    )
+    counts = [F.sum(F.when(F.col("_bin") == b, n).otherwise(0)) for b in range(1, bins + 1)]
+    squares = F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean")))
+    return placed.groupBy("column", "_n", "_mean", "_low", "_high", "_unique").agg(
+        F.when(F.col("_n") > 1, F.sqrt(squares / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("_sd"),
+        F.concat_ws(",", *[c.cast("string") for c in counts]).alias("_hist"),
+    )
+
+
 def summary_long(df: DataFrame, value: str) -> DataFrame:
-    """``(measure, value)``: min, exact median, mean, max and sample deviation."""
-    moments = df.agg(
-        F.min(value).cast("double").alias("Min"),
-        F.avg(value).alias("Mean"),
-        F.max(value).cast("double").alias("Max"),
-        F.stddev_samp(value).alias("Standard Dev"),
-    ).unpivot([], ["Min", "Mean", "Max", "Standard Dev"], "measure", "value")
-    median = exact_quantiles(df, [value], [0.5])
-    return moments.unionByName(median.select(F.lit("Median").alias("measure"), F.col("quantile").alias("value")))
+    """``(measure, value)``: min, exact median, mean, max and sample deviation.
+
+    ``df`` is read once; all five come from its value counts.
+    """
+    ranked = ranked_values(df, [value])
+    wide = (
+        value_moments(ranked)
+        .join(quantiles_of_ranked(ranked, [0.5]), "column")
+        .select(
+            F.col("_low").alias("Min"),
+            F.col("quantile").alias("Median"),
+            F.col("_mean").alias("Mean"),
+            F.col("_high").alias("Max"),
+            F.col("_sd").alias("Standard Dev"),
+        )
+    )
+    return wide.unpivot([], wide.columns, "measure", "value")
 
 
 def histogram(
@@ -124,33 +158,15 @@ def table_skim(
         ((F.col("_rows") - F.col("n_missing")) / F.col("_rows")).alias("complete_rate"),
     )
 
-    v, n = F.col("value"), F.col("copies")
-    sums = ranked.groupBy("column").agg(
-        F.sum(n).alias("_n"),
-        (F.sum(v * n) / F.sum(n)).alias("_mean"),
-        F.min(v).alias("_low"),
-        F.max(v).alias("_high"),
-        F.count(F.lit(1)).alias("n_unique"),
-    )
-    spread = (
-        ranked.join(F.broadcast(sums), "column")  # one row per profiled column
-        .withColumn("_square", n * (v - F.col("_mean")) * (v - F.col("_mean")))
-        .withColumn("_bin", equal_width_bin(v, F.col("_low"), F.col("_high"), bins))
-    )
-    counts = [F.sum(F.when(F.col("_bin") == b, n).otherwise(0)) for b in range(1, bins + 1)]
-    shape = spread.groupBy("column").agg(
-        F.when(F.max("_n") > 1, F.sqrt(F.sum("_square") / F.greatest(F.max("_n") - 1, F.lit(1)))).alias("_sd"),
-        F.max("_mean").alias("_mean"),
-        F.max("n_unique").alias("_unique"),
-        F.concat_ws(",", *[c.cast("string") for c in counts]).alias("_hist"),
-    )
+    shape = value_moments(ranked, bins)
     quartiles = (
         quantiles_of_ranked(ranked, QUARTILES)
         .groupBy("column")
         .agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(f"_p{int(100 * p)}") for p in QUARTILES])
     )
 
-    skim = base.join(shape, "column", "left").join(quartiles, "column", "left")
+    numeric = with_names(shape.join(quartiles, "column"), [*numbers, *dates])
+    skim = base.join(numeric, "column", "left")
     if factors:
         skim = skim.join(top_values(df, factors, top), "column", "left")
     else:

@@ -54,11 +54,13 @@ def row_id(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, copies)`` of several numeric columns in one pass.
 
-    Copies are combined before the shuffle, so a value that fills a third of the
-    table arrives as one row per task. NULL and NaN are left out.
+    ``column`` is the place in ``columns``: a small integer sorts and hashes faster
+    than a name; :func:`with_names` puts the name back. Copies are combined before
+    the shuffle, so a value that fills a third of the table arrives as one row per
+    task. NULL and NaN are left out.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    long = doubles.unpivot([], list(columns), "column", "value")
+    places = [F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
+    long = df.select(F.inline(F.array(*places)))
     return (
         long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "value")
@@ -66,6 +68,11 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def with_names(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in columns])
+    return df.withColumn("column", F.element_at(names, F.col("column") + 1))
+
+
 def ranked_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Value counts cut into ordered slices, written once; see :func:`range_segments`."""
     return range_segments(value_counts(df, columns), ["column", "value"])
@@ -80,23 +87,29 @@ def quantiles_of_ranked(ranked: DataFrame, probabilities: Sequence[float]) -> Da
     slices = ranked.groupBy("column", "_segment").agg(F.sum("copies").alias("_held"))
     by_column = Window.partitionBy("column")
     before = by_column.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    # At most (columns x slices x probabilities) rows, whatever the data.
-    targets = (
-        slices.select(
-            "column",
-            "_segment",
-            "_held",
-            F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_below"),
-            F.sum("_held").over(by_column).alias("_total"),
-        )
-        .withColumn("p", wanted)
-        .withColumn("_at", (F.col("_total") - 1) * F.col("p"))
-        .withColumn("_low", F.floor("_at"))
-        .withColumn("_high", F.ceil("_at"))
-        .filter("_low < _below + _held AND _high >= _below")
+    counted = slices.select(
+        "column",
+        "_segment",
+        F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_below"),
+        F.col("_held"),
+        (F.sum("_held").over(by_column) - 1).alias("_top"),
+    )
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("p"),
+                (F.col("_top") * p).alias("at"),
+                F.floor(F.col("_top") * p).alias("low"),
+                F.ceil(F.col("_top") * p).alias("high"),
+            )
+            for p in probabilities
+        ]
+    )
+    touched = lambda t: (t["low"] < F.col("_below") + F.col("_held")) & (t["high"] >= F.col("_below"))
+    # One row per wanted slice: at most (columns x probabilities x 2) rows, whatever the data.
+    needed = counted.select("column", "_segment", "_below", F.filter(wanted, touched).alias("_targets")).filter(
+        F.size("_targets") > 0
     )
-    needed = targets.select("column", "_segment", "_below").distinct()
     running = (
         Window.partitionBy("column", "_segment")
         .orderBy("value")
@@ -105,17 +118,17 @@ def quantiles_of_ranked(ranked: DataFrame, probabilities: Sequence[float]) -> Da
     ranks = (
         ranked.join(F.broadcast(needed), ["column", "_segment"])
         .withColumn("_end", F.col("_below") + F.sum("copies").over(running))
-        .select("column", "_segment", "value", "_end", (F.col("_end") - F.col("copies")).alias("_start"))
+        .select("column", "value", "copies", "_end", F.inline("_targets"))
     )
-    holds = lambda rank: (F.col(rank) >= F.col("_start")) & (F.col(rank) < F.col("_end"))
-    hits = ranks.join(
-        F.broadcast(targets.select("column", "_segment", "p", "_at", "_low", "_high")),
-        ["column", "_segment"],
-    ).filter(holds("_low") | holds("_high"))
-    ends = hits.groupBy("column", "p").agg(
-        F.max(F.when(holds("_low"), F.col("value"))).alias("_v0"),
-        F.max(F.when(holds("_high"), F.col("value"))).alias("_v1"),
-        F.max(F.col("_at") - F.col("_low")).alias("_share"),
+    holds = lambda rank: (F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("copies"))
+    ends = (
+        ranks.filter(holds("low") | holds("high"))
+        .groupBy("column", "p")
+        .agg(
+            F.max(F.when(holds("low"), F.col("value"))).alias("_v0"),
+            F.max(F.when(holds("high"), F.col("value"))).alias("_v1"),
+            F.max(F.col("at") - F.col("low")).alias("_share"),
+        )
     )
     return ends.select(
         "column", "p", (F.col("_v0") + F.col("_share") * (F.col("_v1") - F.col("_v0"))).alias("quantile")
@@ -123,4 +136,5 @@ def quantiles_of_ranked(ranked: DataFrame, probabilities: Sequence[float]) -> Da
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    return quantiles_of_ranked(ranked_values(df, columns), probabilities)
+    """``(column, p, quantile)`` with column names; see :func:`quantiles_of_ranked`."""
+    return with_names(quantiles_of_ranked(ranked_values(df, columns), probabilities), columns)

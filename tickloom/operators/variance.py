@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import annualise, is_missing, log_change
-from .ordered import Axis, MINUTES, START, HERE, guarded_sum, lag_rows, minute_axis
+from .ordered import Axis, MINUTES, START, HERE, guarded_sum, minute_axis
 
 SPARSE_GRID = range(1, 61)
 ROLLING_PERIODS = (5, 10, 15, 30)
@@ -52,36 +52,58 @@ def sparse_rv_calendar(
     ``overnight="include"`` keeps it, ``"exclude"`` drops it.
 
     Each row is repeated once per divisor (5.2 times on average for 1..60) rather
-    than once per ``s``. The windows are partitioned by ``keys + date``, which
-    holds for every ``s``, so the repeated rows are not shuffled again.
+    than once per ``s``. All row-level work is partitioned by ``keys + date``, which
+    serves every ``s``, so the repeated rows are never shuffled. Returns across
+    dates need only the first and the last sample of each ``(s, date)``; they are
+    taken from that small table and added to the sums.
     """
     if overnight not in ("include", "exclude"):
         raise ValueError(f"unknown overnight rule {overnight!r}")
-    axis = minute_axis(keys)
-    day = Window.partitionBy(*axis.segment_keys).orderBy("index_time")
-    # The opening row of the first date stays: nothing comes before it.
-    first_dates = Window.partitionBy(*keys).orderBy("index_date")
-    dates = prices.groupBy(*axis.segment_keys).agg(F.lit(1).alias("_one"))
-    opening_date = dates.withColumn("_debut", F.row_number().over(first_dates) == 1).drop("_one")
-    sampled = (
-        prices.select(*axis.segment_keys, "index_time", price)
-        .withColumn("_rank", F.row_number().over(day))
-        .join(opening_date, axis.segment_keys)
-        .filter((F.col("_rank") > 1) | F.col("_debut"))
-    )
     periods = sorted(set(grid))
+    date = [*keys, "index_date"]
+    day = Window.partitionBy(*date).orderBy("index_time")
     minute = F.floor(F.pmod(F.col("index_time"), F.lit(3600)) / 60).cast("int")
     divisors = F.array(
         *[F.array(*[F.lit(s) for s in periods if m % s == 0]).cast("array<int>") for m in range(60)]
     )
-    long = sampled.withColumn("s_grid", F.explode(F.element_at(divisors, minute + 1)))
-    by_s = Axis(keys=(*keys, "s_grid"))
+    long = (
+        prices.select(*date, "index_time", F.col(price).alias("_price"))
+        .withColumn("_opening", F.row_number().over(day) == 1)
+        .withColumn("s_grid", F.explode(F.element_at(divisors, minute + 1)))
+        .withColumn("_sample", F.when(~F.col("_opening"), F.col("_price")))
+    )
+    within_s = Window.partitionBy(*date, "s_grid").orderBy("index_time")
+    move = log_change(F.col("_sample"), F.lag("_sample").over(within_s))
+    known = ~is_missing(F.col("_move"))
+    at = F.when(~F.col("_opening"), F.col("index_time"))
+    ends = (
+        long.withColumn("_move", move)
+        .groupBy(*date, "s_grid")
+        .agg(
+            F.sum(F.when(known, F.col("_move") * F.col("_move"))).alias("_inside"),
+            F.min_by("_sample", at).alias("_first"),
+            F.max_by("_sample", at).alias("_last"),
+            F.max(F.when(F.col("_opening"), F.col("_price"))).alias("_open"),
+        )
+    )
+    # From here on one row per (s, date). The opening row of a key's first date has
+    # no date before it and so counts as a sample.
+    debut = F.col("index_date") == F.min("index_date").over(Window.partitionBy(*keys))
+    earlier = Window.partitionBy(*keys, "s_grid").orderBy("index_date").rowsBetween(START, -1)
+    before = F.when(F.col("_debut"), F.col("_open"))
     if overnight == "include":
-        lagged = lag_rows(long, {"_before": price}, by_s)
-    else:
-        lagged = long.withColumn("_before", F.lag(price).over(by_s.within()))
-    moves = lagged.withColumn("_ret", log_change(F.col(price), F.col("_before")))
-    rv = sum_of_squares(moves, "_ret", [*keys, "s_grid", "index_date"], "rv_sparse")
+        carried = F.last("_chain", ignorenulls=True).over(earlier)
+        before = before.otherwise(carried)
+    chained = ends.withColumn("_debut", debut).withColumn(
+        "_chain", F.coalesce("_last", F.when(F.col("_debut"), F.col("_open")))
+    )
+    entry = chained.withColumn("_entry", log_change(F.col("_first"), before))
+    crossing = F.when(~is_missing(F.col("_entry")), F.col("_entry") * F.col("_entry"))
+    total = F.when(
+        F.col("_inside").isNotNull() | crossing.isNotNull(),
+        F.coalesce("_inside", F.lit(0.0)) + F.coalesce(crossing, F.lit(0.0)),
+    )
+    rv = entry.select(*keys, "s_grid", "index_date", total.alias("rv_sparse")).filter("rv_sparse IS NOT NULL")
     return rv.withColumn("rv_sparse_an", annualise(F.col("rv_sparse")))
 
 

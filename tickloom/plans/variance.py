@@ -36,8 +36,7 @@ def realized_variance_by_key(spark, folder):
 
 
 def _sparse(spark, folder, grid=rv_ops.SPARSE_GRID, overnight="include"):
-    prices = inputs.stage(inputs.padded(spark, folder), "padded")
-    return rv_ops.sparse_rv_calendar(prices, grid, overnight)
+    return rv_ops.sparse_rv_calendar(inputs.padded(spark, folder), grid, overnight)
 
 
 @query(

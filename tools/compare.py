@@ -42,8 +42,8 @@ def oracle(folder: str):
     return connection
 
 
-def differences(spark, connection, folder, name) -> tuple[str, int]:
-    df = QUERIES[name](spark, folder)
+def differences(df, connection, name) -> tuple[str, int]:
+    """What is wrong with the result of query ``name``, if anything, and its size."""
     columns, rows = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     if name not in ORACLES:
         return "no oracle", len(rows)
@@ -73,7 +73,7 @@ def main() -> int:
     for name in names:
         began = time.time()
         try:
-            problem, size = differences(spark, connection, folder, name)
+            problem, size = differences(QUERIES[name](spark, folder), connection, name)
         except Exception as error:  # report and go on with the next query
             problem, size = f"{type(error).__name__}: {str(error)[:600]}", -1
         failed += bool(problem)
