@@ -25,7 +25,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PASSIVE = ("Project", "Sort", "Filter", "AQEShuffleRead", "ShuffleQueryStage", "ColumnarToRow")
+PASSIVE = ("Project", "Sort [", "Filter", "AQEShuffleRead", "ShuffleQueryStage", "ColumnarToRow")
 
 
 def check_plan(text: str) -> None:

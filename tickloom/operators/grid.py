@@ -58,18 +58,18 @@ def calendar_grid(ticks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     Dates are exploded first and spread out, so that no task makes the whole span.
     """
+    at = epoch_seconds(F.col("index_date"), F.col("index_time"))
     spans = ticks.groupBy(*keys).agg(
         F.min("index_date").alias("_first"),
         F.max("index_date").alias("_last"),
-        F.min(F.struct(*SLOT)).alias("_head"),
-        F.max(F.struct(*SLOT)).alias("_tail"),
+        F.min(at).alias("_head"),
+        F.max(at).alias("_tail"),
     )
     days = spans.withColumn("index_date", F.explode(F.sequence("_first", "_last"))).repartition(
         *keys, "index_date"
     )
     minutes = days.withColumn("index_time", F.explode(minute_range(0, 86400 - MINUTE)))
-    slot = F.struct(*SLOT)
-    return minutes.filter((slot >= F.col("_head")) & (slot <= F.col("_tail"))).select(*keys, *SLOT)
+    return minutes.filter(at.between(F.col("_head"), F.col("_tail"))).select(*keys, *SLOT)
 
 
 def grid_left_join(grid: DataFrame, ticks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -39,19 +39,21 @@ def tape(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFram
     """One row per minute: last price, number of events, sum of prices in cents.
 
     Events are combined before the shuffle; however many fall into one minute,
-    each task sends one row for it.
+    each task sends one row for it. The last event of a minute is the one with the
+    highest event id: ids count the rows of the feed and rise with its clock. One
+    integer to compare keeps the aggregate in a hash map, where ordering by a
+    struct of time and id would sort all events first.
     """
     ts = F.col("ts")
     slots = events(spark, folder).select(
         *keys,
         F.to_date(ts).alias("index_date"),
         minute_of_day(ts).alias("index_time"),
-        "ts",
         "event_id",
         "value",
     )
     return slots.groupBy(*keys, "index_date", "index_time").agg(
-        F.max_by("value", F.struct("ts", "event_id")).alias("last_price"),
+        F.max_by("value", "event_id").alias("last_price"),
         F.count(F.lit(1)).alias("no_trades"),
         F.sum(cents(F.col("value"))).alias("q"),
     )
