@@ -19,8 +19,8 @@ ROLLING_GRID = (
 
 def sum_of_squares(df: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
     """Missing values are left out, as are groups that have nothing else."""
-    kept = df.filter(~is_missing(F.col(value)))
-    return kept.groupBy(*by).agg(F.sum(F.col(value) * F.col(value)).alias(name))
+    known = F.when(~is_missing(F.col(value)), F.col(value) * F.col(value))
+    return df.groupBy(*by).agg(F.sum(known).alias(name)).filter(F.col(name).isNotNull())
 
 
 def drop_zero_rv(df: DataFrame, name: str = "rv") -> DataFrame:

@@ -353,23 +353,25 @@ _calendar_query(
     _big("isodow(o_orderdate)", "wday") + ", strftime(o_orderdate, '%a') AS wday_label",
 )
 _calendar_query(
-    "qday_yday",
-    lambda d: {"qday": calendar.day_of_quarter(d), "yday": F.dayofyear(d)},
-    _big("date_diff('day', date_trunc('quarter', o_orderdate), o_orderdate) + 1", "qday")
-    + ", "
-    + _big("dayofyear(o_orderdate)", "yday"),
+    "qday",
+    lambda d: {"qday": calendar.day_of_quarter(d)},
+    _big("date_diff('day', date_trunc('quarter', o_orderdate), o_orderdate) + 1", "qday"),
 )
+_calendar_query("yday", lambda d: {"yday": F.dayofyear(d)}, _big("dayofyear(o_orderdate)", "yday"))
 _calendar_query(
     "week",
     lambda d: {"week": calendar.week_of_year(d)},
     _big("(dayofyear(o_orderdate) - 1) // 7 + 1", "week"),
 )
 _calendar_query(
-    "mweek_mday7",
-    lambda d: {"mweek": calendar.week_of_month(d), "mday7": calendar.weekday_instance(d)},
-    _big("(day(o_orderdate) + isodow(date_trunc('month', o_orderdate)) - 2) // 7 + 1", "mweek")
-    + ", "
-    + _big("(day(o_orderdate) - 1) // 7 + 1", "mday7"),
+    "mweek",
+    lambda d: {"mweek": calendar.week_of_month(d)},
+    _big("(day(o_orderdate) + isodow(date_trunc('month', o_orderdate)) - 2) // 7 + 1", "mweek"),
+)
+_calendar_query(
+    "mday7",
+    lambda d: {"mday7": calendar.weekday_instance(d)},
+    _big("(day(o_orderdate) - 1) // 7 + 1", "mday7"),
 )
 
 
@@ -447,23 +449,33 @@ def math(spark, folder):
 
 
 @query(
-    "conditionals",
+    "if_else",
     statement(
         """SELECT index_date, index_time,
-            CASE WHEN no_trades IS NULL THEN NULL WHEN no_trades > 1 THEN 'many' ELSE 'one' END AS if_else_label,
-            CASE WHEN no_trades > 1 THEN 'many' ELSE 'other' END AS case_label
+            CASE WHEN no_trades IS NULL THEN NULL WHEN no_trades > 1 THEN 'many' ELSE 'one' END AS label
         FROM joined""",
         "joined",
     ),
 )
-def conditionals(spark, folder):
-    many = F.col("no_trades") > 1
-    return _joined(spark, folder).select(
-        "index_date",
-        "index_time",
-        numeric.if_else(many, F.lit("many"), F.lit("one")).alias("if_else_label"),
-        F.when(many, "many").otherwise("other").alias("case_label"),
-    )
+def if_else(spark, folder):
+    """Unknown in, unknown out."""
+    label = numeric.if_else(F.col("no_trades") > 1, F.lit("many"), F.lit("one"))
+    return _joined(spark, folder).select("index_date", "index_time", label.alias("label"))
+
+
+@query(
+    "case_when",
+    statement(
+        """SELECT index_date, index_time, CASE WHEN no_trades > 1 THEN 'many' WHEN no_trades = 1 THEN 'one'
+            ELSE 'other' END AS label FROM joined""",
+        "joined",
+    ),
+)
+def case_when(spark, folder):
+    """Unknown counts as false."""
+    n = F.col("no_trades")
+    label = F.when(n > 1, "many").when(n == 1, "one").otherwise("other")
+    return _joined(spark, folder).select("index_date", "index_time", label.alias("label"))
 
 
 @query(

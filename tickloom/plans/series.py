@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.clock import SESSION_OPEN, epoch_seconds, moment
+from ..functions.clock import SESSION_OPEN, epoch_seconds, minute_of_day, moment
 from ..operators import grid, ordered, returns, volume
 from ..operators.profile import null_counts
-from . import inputs
+from . import inputs, prepare
 from .registry import query
 from .sql import MOMENT, clip, ln, r, statement
 
@@ -333,6 +333,60 @@ def half_hour_mean_pad(spark, folder):
     return padded.select("index_date", "index_time", "half_hour", "was_missing", "log_ret")
 
 
+# --- from raw bars to the table of returns ------------------------------------------
+
+
+def _raw_bars(spark, folder):
+    """The events of each minute as a bar with the 23 columns of a raw file."""
+    value, none = F.col("value"), F.lit(None)
+    bars = (
+        inputs.events(spark, folder)
+        .groupBy(F.date_format("ts", "yyyyMMdd").cast("double").alias("d"), minute_of_day(F.col("ts")).alias("t"))
+        .agg(
+            F.min_by(value, "event_id").alias("o"),
+            F.max(value).alias("h"),
+            F.min(value).alias("l"),
+            F.max_by(value, "event_id").alias("c"),
+            F.sum(inputs.cents(value)).alias("v"),
+            F.avg(value).alias("a"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+    columns = [F.lit(".X"), "d", "t", F.lit("Intraday 1Min"), "o", "h", "l", "c", "v", "a", none, "n"]
+    columns += [none] * 5 + [F.lit(0)] + [none] * 4 + [F.lit(0)]
+    return bars.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+@query(
+    "prepare_returns",
+    statement(
+        f"""SELECT s.*, {r('log_ret')} AS log_ret, q AS volume, r.no_trades FROM ({_SIGNATURE}) s
+        JOIN returns r USING (index_date, index_time) LEFT JOIN tape USING (index_date, index_time)""",
+        "returns",
+    ),
+)
+def prepare_returns(spark, folder):
+    ticks = inputs.stage(prepare.ticks_from_bars(_raw_bars(spark, folder)), "ticks")
+    return prepare.prepare_returns(ticks, inputs.THRESHOLD)
+
+
+@query(
+    "prepare_returns_unpadded",
+    statement(
+        f"""SELECT trade_id, index_date, index_time, {r('last_price')} AS last_price,
+            CAST(index_date <> lag(index_date) OVER w AS BIGINT) AS day_change,
+            {r(clip("(CASE WHEN index_date = lag(index_date) OVER w THEN ret ELSE 0.0 END)"))} AS log_ret
+        FROM (SELECT *, row_number() OVER (ORDER BY index_date, index_time) AS trade_id,
+            {ln('last_price')} - lag({ln('last_price')}) OVER (ORDER BY index_date, index_time) AS ret FROM tape)
+        WHERE index_time BETWEEN 30600 AND 54000 WINDOW w AS (ORDER BY index_date, index_time)""",
+        "tape",
+    ),
+)
+def prepare_returns_unpadded(spark, folder):
+    ticks = inputs.tape(spark, folder).select("index_date", "index_time", "last_price")
+    return prepare.prepare_returns_unpadded(ticks, inputs.THRESHOLD)
+
+
 # --- the same over several series at once ---------------------------------------------
 
 _KEYED = """WITH tape AS (SELECT event_type, CAST(ts AS DATE) AS index_date,
