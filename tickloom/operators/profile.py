@@ -123,8 +123,12 @@ def histogram(
 
 
 def histogram_free_range(df: DataFrame, value: str, bins: int, by: Sequence[str]) -> DataFrame:
-    """Counts per bin where every group has its own range. The ranges are one row per group."""
-    ranges = df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    """Counts per bin where every group has its own range.
+
+    The ranges, one row per group, are staged: their true size then decides whether
+    the rows can stay where they are or must be shuffled to their range.
+    """
+    ranges = stage(df.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high")), "ranges")
     return histogram(df.join(ranges, list(by)), F.col(value), F.col("_low"), F.col("_high"), bins, by)
 
 

@@ -89,7 +89,8 @@ def half_hour_mean_pad(ticks: DataFrame, grid: DataFrame, keys: Sequence[str] =
     """Grid minutes without a return take the mean return of their half-hour.
 
     The means have thirteen rows per key; they are joined as an aggregate, not
-    spread by a window over all rows of a half-hour.
+    spread by a window over all rows of a half-hour. Of a single series, thirteen
+    rows are broadcast.
     """
     observed = log_returns(ticks.filter(in_session(F.col("index_time"))), axis=minute_axis(keys))
     bucket = half_hour_bucket(F.col("index_time"))
@@ -99,6 +100,8 @@ def half_hour_mean_pad(ticks: DataFrame, grid: DataFrame, keys: Sequence[str] =
         .groupBy(*keys, "half_hour")
         .agg(F.avg("log_ret").alias("_mean"))
     )
+    if not keys:
+        means = F.broadcast(means)
     padded = grid.join(observed.select(*keys, *SLOT, "log_ret"), [*keys, *SLOT], "left")
     return (
         padded.withColumn("half_hour", bucket)

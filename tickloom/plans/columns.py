@@ -84,7 +84,7 @@ def drop_all_nulls(spark, folder):
 )
 def parse_date(spark, folder):
     raw = inputs.orders(spark, folder).select(
-        "o_orderkey", F.date_format("o_orderdate", "yyyyMMdd").cast("double").alias("raw_date")
+        "o_orderkey", F.date_format(F.to_date("o_orderdate"), "yyyyMMdd").cast("double").alias("raw_date")
     )
     return raw.withColumn("tidy_date", clock.parse_date_number(F.col("raw_date")))
 
@@ -138,7 +138,7 @@ def number_rows(spark, folder):
         substr(event_type, 1, 3) AS kind, substr(event_type, -3) AS kind_end FROM events""",
 )
 def substr_time(spark, folder):
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    text = F.concat_ws(" ", F.to_date("ts"), clock.clock_text(clock.time_of_day(F.col("ts"))))
     return inputs.events(spark, folder).select(
         "event_id",
         F.substring(text, -8, 8).alias("time_text"),

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import clock
 from ..functions.calendar import week_of_year
 from ..operators import profile, reshape, volume
-from ..operators.grid import date_semi_join
+from ..operators.grid import date_semi_join, grid_left_join, session_grid
 from . import inputs
 from .registry import query
 from .sql import r, statement
@@ -267,8 +267,6 @@ def log_histogram_by_year(spark, folder):
 )
 def sort_asc_desc(spark, folder):
     """The top of a descending sort with missing values last."""
-    from ..operators.grid import grid_left_join, session_grid
-
     ticks = inputs.staged_tape(spark, folder, ["no_trades"])
     order = [reshape.descending("no_trades"), reshape.ascending("index_date"), reshape.ascending("index_time")]
     top = grid_left_join(session_grid(ticks), ticks).orderBy(*order).limit(100)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import in_session, minute_of_day
 from ..operators.grid import pad_session
+from ..operators.ordered import minute_axis
 from ..operators.returns import clip_returns, day_change, log_returns
 from ..operators.variance import realized_variance
 from ..operators.volume import volume_delta
@@ -78,10 +79,8 @@ def padded(spark: SparkSession, folder: str, extras: Sequence[str] = (), keys: S
 
 
 def returns(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
-    from ..operators.ordered import minute_axis
-
-    axis = minute_axis(keys)
-    return clip_returns(log_returns(padded(spark, folder, keys=keys), axis=axis), THRESHOLD)
+    series = padded(spark, folder, keys=keys)
+    return clip_returns(log_returns(series, axis=minute_axis(keys)), THRESHOLD)
 
 
 def daily_rv(spark: SparkSession, folder: str) -> DataFrame:

@@ -341,7 +341,7 @@ def _raw_bars(spark, folder):
     value, none = F.col("value"), F.lit(None)
     bars = (
         inputs.events(spark, folder)
-        .groupBy(F.date_format("ts", "yyyyMMdd").cast("double").alias("d"), minute_of_day(F.col("ts")).alias("t"))
+        .groupBy(F.date_format(F.to_date("ts"), "yyyyMMdd").cast("double").alias("d"), minute_of_day(F.col("ts")).alias("t"))
         .agg(
             F.min_by(value, "event_id").alias("o"),
             F.max(value).alias("h"),
