@@ -67,6 +67,11 @@ def test_sparse_rv_for_all_periods_at_once(series, seed):
         assert all(table[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_an_unknown_price_spoils_both_returns_it_touches(series):
+    df = series([(0, 0, 1.0), (0, 1, E), (0, 2, None), (0, 3, E), (0, 4, E**3)], "last_price")
+    assert sparse(df, 1, "include") == [(0, 1.0 + 4.0)]
+
+
 def test_exclude_never_exceeds_include(series):
     pick = random.Random(5)
     df = series([(d, m, pick.uniform(1, 5)) for d in range(4) for m in range(391)], "last_price")
