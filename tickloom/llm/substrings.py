@@ -23,18 +23,21 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage, with_fields
 from .text import U, Stretch, covered, spaced, stretches, window_hashes, word_hashes, _power_tables, mix
 
 WINDOW = 13
 ANCHOR = 5
+#: Anchors of fewer bytes a word are taken only where a window has no others: runs of short
+#: words repeat by chance.
+LETTERS = 4.4
 #: Bits of the broadcast filter of repeated anchors: 16 per anchor, this many at most
 #: (32 MB). A fuller filter lets more paths through; the joins after it are exact.
 MOST_BITS = 1 << 28
-#: Rows of coordinates that may be broadcast to a scan of the texts.
-BROADCAST_ROWS = 300_000
+#: Spans that may be broadcast to a scan of the texts (some 15 MB); more are joined by shuffle.
+BROADCAST_SPANS = 300_000
 _ROWS = 1 << 18
 
 
@@ -56,7 +59,9 @@ def anchors(s: Stretch, words: np.ndarray, size: int, anchor: int) -> tuple[np.n
     if n <= 0:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros((2, 0), U),)
     short = window_hashes(words, anchor, salt=3)
-    place = smallest(short, size - anchor + 1)
+    letters = np.concatenate([[0], np.cumsum(s.end - s.begin)])
+    plain = letters[anchor:] - letters[:-anchor] < LETTERS * anchor
+    place = smallest((short >> U(1)) | (plain.astype(U) << U(63)), size - anchor + 1)
     row = np.repeat(np.arange(s.rows), np.diff(s.bounds))[:n]
     first = np.flatnonzero(np.arange(size, n + size) <= s.bounds[1:][row])
     place = place[first]
@@ -191,14 +196,22 @@ def _edges(docs: DataFrame, coordinates: DataFrame, size: int) -> DataFrame:
 
 def _with_spans(docs: DataFrame, coordinates: DataFrame, how: str) -> DataFrame:
     """Texts with the spans that concern them; spans are broadcast if they are few."""
-    if coordinates.count() <= BROADCAST_ROWS:
+    if (coordinates.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
         coordinates = F.broadcast(coordinates)
     return docs.join(coordinates, "id", how)
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    """(id, spans): bounded by the length of the document."""
-    return stage(rows.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("spans")), "spans")
+    """(id, spans): adjoining windows become one span; their number is bounded by the document's length."""
+    ordered = Window.partitionBy("id").orderBy("pos", "n")
+    before = F.max(F.col("pos") + F.col("n")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = rows.select("id", "pos", "n", F.coalesce(F.col("pos") > before, F.lit(True)).cast("int").alias("opens"))
+    merged = (
+        opened.withColumn("run", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("id", "run")
+        .agg(F.min("pos").alias("pos"), (F.max(F.col("pos") + F.col("n")) - F.min("pos")).alias("n"))
+    )
+    return stage(merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spans")), "spans")
 
 
 def _sources(rows: DataFrame) -> DataFrame:
