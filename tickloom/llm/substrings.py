@@ -6,10 +6,12 @@ one with the smallest hash stands for it, and successive windows with the same a
 form one path. Equal stretches of text choose equal anchors, so
 
 1. anchors are counted, and only those of two or more documents go on;
-2. paths over such anchors are joined by content: each occurrence but those in the first
-   document is repeated from end to end, and cites its source coordinates;
-3. first occurrences are taken apart into edges, as the margins of a repeated stretch
-   share only some of a path's edges, and edges are joined in the same way;
+2. paths over such anchors are joined by anchor and content: each occurrence but those in
+   the first document is repeated from end to end;
+3. an anchor with one content does not branch and is done with. Where an anchor has several
+   contents, paths branch: they share some of their edges, as at the margins of a repeated
+   stretch. Only there one occurrence of each content is taken apart into edges, which are
+   joined in the same way;
 4. what repeats is merged into spans and cut.
 
 A match counts only if a second digest, taken from the words at the source coordinates,
@@ -36,8 +38,9 @@ LETTERS = 4.4
 #: Bits of the broadcast filter of repeated anchors: 16 per anchor, this many at most
 #: (32 MB). A fuller filter lets more paths through; the joins after it are exact.
 MOST_BITS = 1 << 28
-#: Spans that may be broadcast to a scan of the texts (some 15 MB); more are joined by shuffle.
-BROADCAST_SPANS = 300_000
+#: Spans, and documents with spans, that may be broadcast to a scan of the texts (at most
+#: some 50 MB); more are joined by shuffle.
+BROADCAST_SPANS, BROADCAST_DOCUMENTS = 2_000_000, 300_000
 _ROWS = 1 << 18
 
 
@@ -129,8 +132,9 @@ def _filter_of(repeated: DataFrame) -> np.ndarray:
 
 
 def _paths(docs: DataFrame, bits: np.ndarray, size: int, anchor: int) -> DataFrame:
-    """(key, check, id, pos, n): paths of n edges over anchors that seem repeated."""
+    """(anchor, key, check, id, pos, n): paths of n edges over anchors that seem repeated."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
+    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,13 +152,13 @@ def _paths(docs: DataFrame, bits: np.ndarray, size: int, anchor: int) -> DataFra
                 start, n = start[chosen], n[chosen]
                 a, row = first[start], row[start]
                 keys = [runs(window_hashes(words, size, salt), a, n).view(np.int64) for salt in (1, 2)]
-                columns = (*keys, ids[s.first + row], a - s.bounds[row], n)
+                columns = (found[0][start].view(np.int64), *keys, ids[s.first + row], a - s.bounds[row], n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                    names=["key", "check", "id", "pos", "n"],
+                    [pa.array(c, t) for c, t in zip(columns, kinds)],
+                    names=["anchor", "key", "check", "id", "pos", "n"],
                 )
 
-    return docs.mapInArrow(find, "key long, check long, id long, pos int, n int")
+    return docs.mapInArrow(find, "anchor long, key long, check long, id long, pos int, n int")
 
 
 def runs(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -166,43 +170,55 @@ def runs(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, coordinates: DataFrame, size: int) -> DataFrame:
-    """(key, check, id, pos): the edges of the paths at the coordinates (id, spans)."""
+    """(key, check, id, pos): the edges of the paths at the coordinates."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            spans = batch.column(2)
+            spans = Spans(batch)
             for s in stretches(batch.column(1), spaced()):
                 words = word_hashes(s)
                 at, row = [], []
                 for i in range(s.rows):
-                    for span in spans[s.first + i].as_py():
-                        if span["pos"] + span["n"] + size - 1 <= s.bounds[i + 1] - s.bounds[i]:
-                            at.append(np.arange(span["pos"], span["pos"] + span["n"]) + s.bounds[i])
-                            row.append(np.full(span["n"], i))
+                    for pos, n in spans[s.first + i]:
+                        if pos + n + size - 1 <= s.bounds[i + 1] - s.bounds[i]:
+                            at.append(np.arange(pos, pos + n) + s.bounds[i])
+                            row.append(np.full(n, i))
                 if not at:
                     continue
                 at, row = np.concatenate(at), np.concatenate(row)
                 keys = [window_hashes(words, size, salt)[at].view(np.int64) for salt in (1, 2)]
                 columns = (*keys, ids[s.first + row], at - s.bounds[row])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
                 for k in range(0, len(at), _ROWS):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[k : k + _ROWS], t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
+                        [pa.array(c[k : k + _ROWS], t) for c, t in zip(columns, kinds)],
                         names=["key", "check", "id", "pos"],
                     )
 
     return _with_spans(docs, coordinates, "inner").mapInArrow(find, "key long, check long, id long, pos int")
 
 
+class Spans:
+    """The last two columns of a batch, first words and counts, as pairs by row."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.pos, self.n = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+
+    def __getitem__(self, row: int) -> list[tuple[int, int]]:
+        return list(zip(self.pos[row].as_py() or (), self.n[row].as_py() or ()))
+
+
 def _with_spans(docs: DataFrame, coordinates: DataFrame, how: str) -> DataFrame:
     """Texts with the spans that concern them; spans are broadcast if they are few."""
-    if (coordinates.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_SPANS:
+    rows, spans = coordinates.agg(F.count("*"), F.sum(F.size("span_pos"))).first()
+    if rows <= BROADCAST_DOCUMENTS and (spans or 0) <= BROADCAST_SPANS:
         coordinates = F.broadcast(coordinates)
     return docs.join(coordinates, "id", how)
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    """(id, spans): adjoining windows become one span; their number is bounded by the document's length."""
+    """(id, span_pos, span_n): adjoining windows become one span; a document's length bounds their number."""
     ordered = Window.partitionBy("id").orderBy("pos", "n")
     before = F.max(F.col("pos") + F.col("n")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     opened = rows.select("id", "pos", "n", F.coalesce(F.col("pos") > before, F.lit(True)).cast("int").alias("opens"))
@@ -211,39 +227,40 @@ def _per_document(rows: DataFrame) -> DataFrame:
         .groupBy("id", "run")
         .agg(F.min("pos").alias("pos"), (F.max(F.col("pos") + F.col("n")) - F.min("pos")).alias("n"))
     )
-    return stage(merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spans")), "spans")
+    spans = merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spans"))
+    return stage(spans.select("id", F.col("spans.pos").alias("span_pos"), F.col("spans.n").alias("span_n")), "spans")
 
 
-def _sources(rows: DataFrame) -> DataFrame:
+def _sources(rows: DataFrame, *keys: str) -> DataFrame:
     """For each key its first document and the digest found there."""
-    return rows.groupBy("key").agg(
+    return rows.groupBy(*keys).agg(
         F.min("id").alias("source"), F.max("id").alias("last"), F.min_by("check", "id").alias("source_check")
     )
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, spans): the windows, as first word and count, that start in an earlier document too.
+    """(id, span_pos, span_n): the windows, as first word and count, that start in an earlier document too.
 
     ``docs`` has columns id (long) and text. "Earlier" means a smaller id.
     """
     docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
     repeated = stage(_repeated_anchors(docs, size, anchor), "anchors")
-    bits = _filter_of(repeated)
-    paths = stage(_paths(docs, bits, size, anchor), "paths")
-    sources = _sources(paths).filter("source < last")
-    met = paths.join(sources, "key", "left")
-    verified = (F.col("source") < F.col("id")) & (F.col("source_check") == F.col("check"))
-    met = stage(met.select("id", "pos", "n", F.coalesce(verified, F.lit(False)).alias("whole")), "met")
+    paths = stage(_paths(docs, _filter_of(repeated), size, anchor), "paths")
+    sources = stage(_sources(paths, "anchor", "key"), "sources")
+    branching = sources.groupBy("anchor").count().filter("count > 1").select("anchor", F.lit(True).alias("branches"))
+    known = sources.filter("source < last").drop("last")
+    met = paths.join(known, ["anchor", "key"], "left").withColumn(
+        "whole",
+        F.coalesce((F.col("source") < F.col("id")) & (F.col("source_check") == F.col("check")), F.lit(False)),
+    )
+    met = stage(met.select("anchor", "id", "pos", "n", "whole", (F.col("source_check") != F.col("check")).alias("differs")), "met")
     whole = met.filter("whole").select("id", "pos", "n")
+    apart = met.filter("NOT whole").join(branching, "anchor", "left").filter("branches OR differs")
 
-    edges = partial(_edges, docs, _per_document(met.filter("NOT whole").select("id", "pos", "n")), size)
-    single = _sources(edges()).filter("source < last")
-    parts = (
-        edges()
-        .join(single, "key")
-        .filter(verified)
-        .select("id", "pos", F.lit(1).alias("n"))
-    )
+    edges = partial(_edges, docs, _per_document(apart.select("id", "pos", "n")), size)
+    single = _sources(edges(), "key").filter("source < last")
+    verified = (F.col("source") < F.col("id")) & (F.col("source_check") == F.col("check"))
+    parts = edges().join(single, "key").filter(verified).select("id", "pos", F.lit(1).alias("n"))
     return _per_document(whole.unionByName(parts))
 
 
@@ -280,13 +297,13 @@ def substring_dedup(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
-            spans = batch.column(batch.num_columns - 1)
+            spans = Spans(batch)
             kept, n_words, n_removed = [], [], []
             for s in stretches(texts, spaced()):
                 for i in range(s.rows):
                     lo, hi = int(s.bounds[i]), int(s.bounds[i + 1])
                     n = hi - lo
-                    gone = spans[s.first + i].as_py() or ()
+                    gone = spans[s.first + i]
                     text = s.data[s.edges[i] : s.edges[i + 1]].tobytes()
                     n_words.append(n)
                     if not gone:
@@ -296,8 +313,8 @@ def substring_dedup(
                         kept.append(text.decode() if joiner is not None or texts[s.first + i].is_valid else None)
                         continue
                     hit = np.zeros(max(0, n - size + 1), bool)
-                    for span in gone:
-                        hit[span["pos"] : span["pos"] + span["n"]] = True
+                    for pos, count in gone:
+                        hit[pos : pos + count] = True
                     out = covered(hit, size)[:n] if len(hit) else np.zeros(n, bool)
                     n_removed.append(int(out.sum()))
                     if joiner is not None:
