@@ -20,7 +20,9 @@ BANDS = 24
 #: Documents, named by id, up to which a list of ids is broadcast to the scan of the texts.
 ID_LIMIT = 2_000_000
 #: Rounds in which the members of a bucket are compared with one document of it.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Shingles, about, in a block of documents that are compared with another block.
+BLOCK = 1 << 16
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -139,8 +141,9 @@ def near_duplicates(
        buckets with most others. Each member is paired with the hub, not with all others,
        and the pair is confirmed on the full sets.
     4. Members that a hub did not link may still be linked to each other. Buckets whose
-       members lie in different components get another hub, three times; then all pairs
-       of members of different components are compared, so no link is lost.
+       members lie in different components get another hub; then what is still outside a
+       cluster's largest component is compared with the whole cluster, in blocks, so no
+       link is lost. Documents with too many shingles of their own are excused first.
 
     A text without words has an empty set and is linked with nothing. Null ids are not
     linked and get a null component; they are kept. Rows that repeat an id share its
@@ -177,49 +180,113 @@ def near_duplicates(
 
 def _links(docs, members, size, percent, id_column, text_column) -> DataFrame:
     sets = stage(shingle_sets(docs, members, size, id_column, text_column), "sets")
-    links = stage(members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), "links")
-    tried = links
+    links = None
     placed = members.withColumn("root", F.col("id"))
     similar = 100 * F.least("n_shingles", "hub_shingles") >= percent * F.greatest("n_shingles", "hub_shingles")
-    for step in range(HUB_ROUNDS + 1):
-        if step < HUB_ROUNDS:
-            # the heaviest member that was not compared with this bucket before
-            fresh = placed if step == 0 else placed.join(used, ["key", "id"], "left_anti")
-            hubs = fresh.groupBy("key").agg(F.max(F.struct("weight", "id", "n_shingles", "root")).alias("hub")).select(
+    for step in range(HUB_ROUNDS):
+        # the heaviest member that was not compared with this bucket before
+        fresh = placed if step == 0 else placed.join(used, ["key", "id"], "left_anti")
+        hubs = fresh.groupBy("key").agg(F.max(F.struct("weight", "id", "n_shingles", "root")).alias("hub"))
+        hubs = stage(
+            hubs.select(
                 "key",
                 F.col("hub.id").alias("hub"),
                 F.col("hub.n_shingles").alias("hub_shingles"),
                 F.col("hub.root").alias("hub_root"),
-            )
-            hubs = stage(hubs, "hubs")
-            seen = hubs.select("key", F.col("hub").alias("id"))
-            used = seen if step == 0 else stage(used.union(seen), "used")
-        else:
-            hubs = placed.select(
-                "key",
-                F.col("id").alias("hub"),
-                F.col("n_shingles").alias("hub_shingles"),
-                F.col("root").alias("hub_root"),
-            )
+            ),
+            "hubs",
+        )
+        used = hubs.select("key", F.col("hub").alias("id"))
         pairs = (
             placed.join(hubs, "key")
             .filter(similar & (F.col("root") != F.col("hub_root")))
             .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
             .distinct()
         )
-        pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = stage(links.union(confirmed(pairs, sets, percent)), "links")
-        if step == HUB_ROUNDS:
-            return links
-        tried = stage(tried.union(pairs), "tried")
-        # Only buckets that still hold several components go on.
-        placed = (
-            members.join(components(links).withColumnRenamed("node", "id"), "id", "left")
-            .withColumn("root", F.coalesce("root", "id"))
-        )
+        found = confirmed(stage(pairs, "pairs"), sets, percent)
+        links = stage(found if links is None else links.union(found), "links")
+        roots = components(links).withColumnRenamed("node", "id")
+        placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # only buckets that still hold several components go on
         split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
         placed = stage(placed.join(split.select("key"), "key", "left_semi"), "placed")
         if placed.isEmpty():
             return links
-    return links
+    return stage(links.union(_across_components(placed, sets, percent)), "links")
+
+
+def _across_components(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between documents of one cluster that lie in different components.
+
+    A cluster is what buckets tie together. Shingles that only one document has cannot be
+    shared: a document of n shingles with u such ones overlaps others in n - u at most, and
+    is out if that is below the similarity even against an equal set. Of the others, those
+    outside the cluster's largest component are compared with all, block by block.
+    """
+    first = placed.groupBy("key").agg(F.min("id").alias("b"))
+    clusters = components(placed.join(first, "key").select(F.col("id").alias("a"), "b")).select(
+        F.col("node").alias("id"), F.col("root").alias("cluster")
+    )
+    ones = placed.select("id", "n_shingles", "root").distinct().join(clusters, "id")
+    here = sets.join(ones.select("id"), "id", "left_semi")
+    own = (
+        here.select("id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("holders"), F.min("id").alias("id"))
+        .filter("holders = 1")
+        .groupBy("id")
+        .agg(F.count("*").alias("own"))
+    )
+    able = ones.join(own, "id", "left").filter(
+        100 * (F.col("n_shingles") - F.coalesce("own", F.lit(0))) >= percent * F.col("n_shingles")
+    )
+    able = stage(able.drop("own"), "able")
+    per_root = able.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    largest = per_root.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    blocks = able.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
+    dealt = (
+        able.join(largest.filter("roots > 1"), "cluster")
+        .join(blocks, "cluster")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        .withColumn("asks", F.col("root") != F.col("top.root"))
+        .join(sets, "id")
+    )
+    one = F.struct("id", "root", "shingles")
+    answers = stage(dealt.groupBy("cluster", "block").agg(F.collect_list(one).alias("answers")), "answers")
+    asking = dealt.filter("asks").groupBy("cluster", F.col("block").alias("other")).agg(F.collect_list(one).alias("asking"))
+    asking = stage(asking, "asking")
+    pairs = asking.select("cluster", "other").join(answers.select("cluster", "block"), "cluster")
+    both = pairs.join(asking, ["cluster", "other"]).join(answers, ["cluster", "block"]).select("asking", "answers")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = _linked(*(batch.column(c)[k].values for c in (0, 1)), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(0).type.value_type.field(0).type), pa.array(b, batch.column(0).type.value_type.field(0).type)], names=["a", "b"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return both.mapInArrow(compare, f"a {kind}, b {kind}")
+
+
+def _linked(asking: pa.StructArray, answers: pa.StructArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs between two blocks that reach the similarity and lie in different components."""
+    ids, roots = (np.asarray(asking.field(k)) for k in (0, 1))
+    lists = asking.field(2)
+    edges = np.asarray(lists.offsets)
+    sizes = np.diff(edges)
+    flat = np.asarray(lists.values)[edges[0] : edges[-1]]
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(ids)), sizes)[order]
+    low, high = [ids[:0]], [ids[:0]]
+    other_ids, other_roots, other = np.asarray(answers.field(0)), np.asarray(answers.field(1)), answers.field(2)
+    other_edges, values = np.asarray(other.offsets), np.asarray(other.values)
+    for k in range(len(other_ids)):
+        x = values[other_edges[k] : other_edges[k + 1]]
+        start = np.searchsorted(flat, x, "left")
+        n = np.searchsorted(flat, x, "right") - start
+        at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(ids))
+        hit = (100 * both >= percent * (sizes + len(x) - both)) & (roots != other_roots[k])
+        low.append(np.minimum(ids[hit], other_ids[k]))
+        high.append(np.maximum(ids[hit], other_ids[k]))
+    return np.concatenate(low), np.concatenate(high)

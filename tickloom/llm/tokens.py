@@ -14,8 +14,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-#: Words and pieces remembered by a worker: at most twice this many (about 100 MB).
-REMEMBERED = 200_000
+#: Words and pieces remembered by a worker: at most twice this many of each (about 150 MB).
+REMEMBERED = 300_000
 
 _SIMPLE = re.compile(r"[!-&(-~]+")  # printable ASCII but the apostrophe, which joins letters after it
 _LATIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[!-&(-;=?-~]*")  # letters, then perhaps signs
@@ -66,7 +66,8 @@ class Encoder:
 
     def __call__(self, text: bytes) -> bytes:
         words = self.words
-        return b"".join([words[w] for w in text.split()])
+        recent = words.new.get  # most words are there
+        return b"".join([recent(w) or words[w] for w in text.split()])
 
 
 @cache
