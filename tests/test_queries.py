@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,21 @@ def test_results_do_not_depend_on_the_order_of_the_input(spark, tmp_path):
         assert sorted(QUERIES[name](spark, str(shuffled)).collect()) == one
 
 
+@pytest.mark.parametrize("name", ["session_filter", "realized_variance", "prepare_returns"])
+def test_last_price_follows_the_clock_not_the_ids(spark, tmp_path, name):
+    """Ids that run against the clock: the last event of a minute is still the latest."""
+    events = inputs.events(spark, SMALL)
+    highest = events.agg(F.max("event_id")).first()[0]
+    events.withColumn("event_id", F.lit(highest // 2) - F.col("event_id")).write.parquet(f"{tmp_path}/one")
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    next((tmp_path / "one").glob("*.parquet")).rename(folder / "events.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    problem, _ = differences(QUERIES[name](spark, str(folder)), connection, name)
+    assert problem == ""
+
+
 def test_invariants_of_the_padded_series(spark):
     padded = inputs.padded(spark, SMALL, ["no_trades"]).cache()
     counts = padded.groupBy("index_date").count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage
 
@@ -12,7 +12,11 @@ LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row below
 
 
 def range_segments(
-    df: DataFrame, order: Sequence[str], segment: str = "_segment", local: str = "_local"
+    df: DataFrame,
+    order: Sequence[str | Column],
+    segment: str = "_segment",
+    local: str = "_local",
+    slices: int | None = None,
 ) -> DataFrame:
     """Cut ``df`` into equal slices of the global order and write them once.
 
@@ -21,9 +25,12 @@ def range_segments(
     key is split like any other stretch of rows as long as ``order`` ends in a
     unique column. No window is needed: the rows are sorted inside each partition
     and the row id that Spark gives holds partition and position. The table is
-    staged because a second evaluation could draw other borders.
+    staged because a second evaluation could draw other borders. ``order`` takes names
+    or sort expressions such as ``F.desc_nulls_last``. ``slices`` is the number of
+    slices, by default that of shuffle partitions; take it from the size of the input,
+    as a slice is sorted by one task. The result is the same for any number.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (
         df.repartitionByRange(partitions, *order)
         .sortWithinPartitions(*order)
@@ -37,9 +44,9 @@ def range_segments(
     )
 
 
-def row_id(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+def row_id(df: DataFrame, name: str, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
     """Consecutive numbers 1..n in the given order; end ``order`` in a unique column."""
-    sliced = range_segments(df, order)
+    sliced = range_segments(df, order, slices=slices)
     sizes = sliced.groupBy("_segment").agg(F.max("_local").alias("_size"))
     before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_segment", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

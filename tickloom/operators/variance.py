@@ -151,8 +151,9 @@ def rolling_returns(
             for s, k in pairs
         ]
     )
-    long = ranked.select(*axis.segment_keys, *axis.order, F.inline(choices))
-    return long.filter(F.col("kept") & F.col("ret").isNotNull()).drop("kept")
+    # entries that are not kept never become rows
+    kept = F.filter(choices, lambda c: c["kept"] & c["ret"].isNotNull())
+    return ranked.select(*axis.segment_keys, *axis.order, F.inline(kept)).drop("kept")
 
 
 def rolling_rv(rolled: DataFrame, keys: Sequence[str] = (), form: str = "252_sqrt_rv") -> DataFrame:

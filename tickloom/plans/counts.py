@@ -8,6 +8,7 @@ from ..functions import clock
 from ..functions.calendar import week_of_year
 from ..operators import profile, reshape, volume
 from ..operators.grid import date_semi_join, grid_left_join, session_grid
+from ..operators.ranking import row_id
 from . import inputs
 from .registry import query
 from .sql import r, statement
@@ -261,16 +262,16 @@ def log_histogram_by_year(spark, folder):
     statement(
         """SELECT index_date, index_time, no_trades,
             row_number() OVER (ORDER BY no_trades DESC NULLS LAST, index_date, index_time) AS place
-        FROM joined QUALIFY place <= 100""",
+        FROM joined""",
         "joined",
     ),
 )
 def sort_asc_desc(spark, folder):
-    """The top of a descending sort with missing values last."""
+    """The whole grid in descending order, missing values last, with each row's place."""
     ticks = inputs.staged_tape(spark, folder, ["no_trades"])
     order = [reshape.descending("no_trades"), reshape.ascending("index_date"), reshape.ascending("index_time")]
-    top = grid_left_join(session_grid(ticks), ticks).orderBy(*order).limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    rows = grid_left_join(session_grid(ticks), ticks).select("index_date", "index_time", "no_trades")
+    return row_id(rows, "place", order)
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import in_session, minute_of_day
 from ..operators.grid import pad_session
@@ -36,25 +36,31 @@ def cents(amount):
     return F.round(amount * 100).cast("bigint")
 
 
+def moment_in_minute(ts: Column, event_id: Column) -> Column:
+    """Microseconds within the minute, then the id, in one decimal; exact for any 64-bit id."""
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("decimal(8,0)")
+    return micros * F.lit(str(10**20)).cast("decimal(21,0)") + event_id.cast("decimal(20,0)")
+
+
 def tape(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per minute: last price, number of events, sum of prices in cents.
 
     Events are combined before the shuffle; however many fall into one minute,
-    each task sends one row for it. The last event of a minute is the one with the
-    highest event id: ids count the rows of the feed and rise with its clock. One
-    integer to compare keeps the aggregate in a hash map, where ordering by a
-    struct of time and id would sort all events first.
+    each task sends one row for it. The last event of a minute is the latest, and of
+    events at the same time the one with the highest id. Both are packed into one
+    number, which keeps the aggregate in a hash map, where ordering by a struct of
+    time and id would sort all events first.
     """
     ts = F.col("ts")
     slots = events(spark, folder).select(
         *keys,
         F.to_date(ts).alias("index_date"),
         minute_of_day(ts).alias("index_time"),
-        "event_id",
+        moment_in_minute(ts, F.col("event_id")).alias("moment"),
         "value",
     )
     return slots.groupBy(*keys, "index_date", "index_time").agg(
-        F.max_by("value", "event_id").alias("last_price"),
+        F.max_by("value", "moment").alias("last_price"),
         F.count(F.lit(1)).alias("no_trades"),
         F.sum(cents(F.col("value"))).alias("q"),
     )
@@ -119,6 +125,5 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def implied_volatility(spark: SparkSession, folder: str) -> DataFrame:
-    """Stand-in for a volatility index: spread of the values of view events per date."""
-    views = events(spark, folder).filter(F.col("event_type") == "view")
-    return views.groupBy(F.to_date("ts").alias("index_date")).agg(F.stddev_samp("value").alias("iv"))
+    """Stand-in for a volatility index: spread of the values of all events per date."""
+    return events(spark, folder).groupBy(F.to_date("ts").alias("index_date")).agg(F.stddev_samp("value").alias("iv"))

@@ -139,7 +139,7 @@ def profile(spark, folder):
     ),
 )
 def bind(spark, folder):
-    tape = inputs.tape(spark, folder)
+    tape = inputs.staged_tape(spark, folder, ["last_price", "no_trades"])
     slot = ["index_date", "index_time"]
     inside = F.col("index_time").between(30600, 54000)
     return bind_rows(

@@ -122,7 +122,8 @@ def signature_full_join(spark, folder):
     ),
 )
 def unmatched_rows(spark, folder):
-    return _full_join(spark, folder).filter(F.col("index_num").isNull()).drop("index_num")
+    ticks = inputs.staged_tape(spark, folder, ["last_price", "no_trades"])
+    return ticks.join(grid.session_grid(ticks), ["index_date", "index_time"], "left_anti")
 
 
 # --- order-dependent operators -----------------------------------------------------
@@ -339,14 +340,15 @@ def half_hour_mean_pad(spark, folder):
 def _raw_bars(spark, folder):
     """The events of each minute as a bar with the 23 columns of a raw file."""
     value, none = F.col("value"), F.lit(None)
+    moment = inputs.moment_in_minute(F.col("ts"), F.col("event_id"))
     bars = (
         inputs.events(spark, folder)
         .groupBy(F.date_format(F.to_date("ts"), "yyyyMMdd").cast("double").alias("d"), minute_of_day(F.col("ts")).alias("t"))
         .agg(
-            F.min_by(value, "event_id").alias("o"),
+            F.min_by(value, moment).alias("o"),
             F.max(value).alias("h"),
             F.min(value).alias("l"),
-            F.max_by(value, "event_id").alias("c"),
+            F.max_by(value, moment).alias("c"),
             F.sum(inputs.cents(value)).alias("v"),
             F.avg(value).alias("a"),
             F.count(F.lit(1)).alias("n"),

@@ -93,7 +93,7 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "iv": (
         (),
         """SELECT CAST(ts AS DATE) AS index_date, stddev_samp(value) AS iv
-        FROM events WHERE event_type = 'view' GROUP BY 1""",
+        FROM events GROUP BY 1""",
     ),
     "premium": (
         ("rv", "iv"),

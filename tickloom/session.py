@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,17 +34,12 @@ def build_session(app_name: str = "tickloom", **settings: str) -> SparkSession:
 def staging_root(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    ``spark.checkpoint.dir`` decides. Only a local-mode session may go without
-    it: there driver and executors share one disk, so a temporary folder will do.
+    ``spark.checkpoint.dir`` decides, or the folder given to ``setCheckpointDir``.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="tickloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    return root.rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -17,8 +17,12 @@ def scan_parquet(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A CSV file, or a directory of part files with one schema. Lazy and uncached."""
-    return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    """A CSV file, or a directory of part files with one schema. Lazy and uncached.
+
+    A header with other names, or the same in another order, fails.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    return reader.option("mode", "FAILFAST").csv(path)
 
 
 def scan_csv_parts(spark: SparkSession, parts: Sequence[tuple[str, StructType | str]]) -> DataFrame:

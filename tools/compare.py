@@ -8,6 +8,7 @@ from __future__ import annotations
 import datetime
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -66,6 +67,7 @@ def main() -> int:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
