@@ -26,10 +26,8 @@ SAMPLE = 4_000
 #: most frequent FEATURES of them.
 LEAST, FEATURES = 12, 60_000
 STEPS, RATE, SHRINK = 250, 0.08, 1e-3
-#: Tail probability from which a document is selected. The fit weighs all grades alike; among
-#: real documents good ones prevail, so the tail is an underestimate and 0.2 is the point
-#: at which 99 of 100 good documents stay while rated toxic ones lie below 0.1.
-SELECT = 0.2
+#: Tail probability from which a document is selected if no sample says otherwise.
+SELECT = 0.5
 _FILTER_BITS = 20
 
 
@@ -88,6 +86,27 @@ class Model(NamedTuple):
     hashes: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    select: float
+
+
+def selection(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, reach: int) -> float:
+    """The tail probability that tells grades apart best on documents a fit has not seen.
+
+    Each half of the sample is judged by the fit on the other. All grades weigh alike; of
+    equally good thresholds the middle one is taken.
+    """
+    tail = np.zeros(len(rows))
+    for half in (0, 1):
+        inside = np.arange(len(rows)) % 2 == half
+        w, t = fit_ordinal([r for r, i in zip(rows, inside) if i], grades[inside], n_features, n_grades)
+        for k in np.flatnonzero(~inside):
+            tail[k] = sigmoid(w[rows[k]].sum() - t[reach - 1])
+    places = np.linspace(0.01, 0.99, 197)
+    right = np.zeros(len(places))
+    for g in np.unique(grades):
+        own = tail[grades == g][:, None] >= places
+        right += (own if g >= reach else ~own).mean(axis=0)
+    return float(np.median(places[right >= right.max() - 1e-9]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -130,12 +149,21 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_g
     return w, np.cumsum(np.concatenate([raised[:1], np.exp(raised[1:])]))
 
 
-def fit(docs: DataFrame, rated: DataFrame, n_grades: int, id_column: str = "doc_id", text_column: str = "text", sample: int = SAMPLE) -> Model:
+def fit(
+    docs: DataFrame,
+    rated: DataFrame,
+    n_grades: int,
+    reach: int,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    sample: int = SAMPLE,
+) -> Model:
     """Fit on about ``sample`` rated documents of each grade.
 
     ``rated`` has the id column and ``grade``, 0 to n_grades - 1; several ratings of a
     document count as the lowest. The sample (at most about sample * n_grades ids) is
     broadcast to the scan of the texts; what reaches the driver is the sample's features.
+    The point of selection for grade ``reach`` comes from cross-fitting on the sample.
     Without rated documents all weights are 0.
     """
     ratings = rated.filter(F.col(id_column).isNotNull() & F.col("grade").between(0, n_grades - 1))
@@ -170,25 +198,31 @@ def fit(docs: DataFrame, rated: DataFrame, n_grades: int, id_column: str = "doc_
     grades = training["grade"].to_numpy()
     lists = [np.asarray(x.values) for x in training["places"]]
     order = sorted(range(len(lists)), key=lambda i: (grades[i], lists[i].tobytes()))  # sums run in one order
-    w, t = fit_ordinal([lists[i] for i in order], grades[order].astype(np.int64), len(vocabulary.hashes), n_grades)
-    return Model(vocabulary.hashes, w, t)
+    lists, grades = [lists[i] for i in order], grades[order].astype(np.int64)
+    several = len(np.unique(grades)) > 1
+    select = selection(lists, grades, len(vocabulary.hashes), n_grades, reach) if several else SELECT
+    w, t = fit_ordinal(lists, grades, len(vocabulary.hashes), n_grades)
+    return Model(vocabulary.hashes, w, t, select)
 
 
 def grade(
     docs: DataFrame,
     model: Model,
     reach: int,
-    least: float = SELECT,
+    least: float | None = None,
     id_column: str = "doc_id",
     text_column: str = "text",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """expected_grade, tail (the probability of grade ``reach`` or more) and kept (tail >= least).
 
+    ``least`` is the model's own point of selection unless given.
+
     A null text counts as empty and is judged by the shape features of an empty text. Null
     ids are passed on; repeated rows are judged each by itself; columns other than the
     named and ``carry`` ones are not read.
     """
+    least = model.select if least is None else least
     held = docs.sparkSession.sparkContext.broadcast((Vocabulary(model.hashes), model.weights, model.thresholds))
     fields = docs.select(id_column, *carry).schema
 

@@ -44,7 +44,7 @@ def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     rated = labels.select("doc_id", quality_model.rating(F.col("quality"), F.col("toxic")).alias("grade"))
-    model = quality_model.fit(docs, rated, n_grades=3)
+    model = quality_model.fit(docs, rated, n_grades=3, reach=2)
     return quality_model.grade(docs, model, reach=2)
 
 
