@@ -120,4 +120,4 @@ def test_entry(spark):
     from __spark_entry__ import entry, oracle_sql, queries
 
     assert entry(spark).count() == 30
-    assert queries().keys() == oracle_sql().keys()
+    assert set(QUERIES) <= oracle_sql().keys() <= queries().keys()
