@@ -95,7 +95,7 @@ class Packer:
         self.held = 0
 
     def add(self, name, encoded: bytes) -> None:
-        self.docs.append([name, 0, encoded, len(encoded) // 4])
+        self.docs.append([name, 0, memoryview(encoded), len(encoded) // 4])
         self.held += len(encoded) // 4
 
     def flush(self, last: bool) -> list[tuple]:

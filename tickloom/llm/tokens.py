@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,13 @@ _LATIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[!-&(-;=?-~]*")  # letters, t
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _visible() -> dict[int, str]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class Memory:
     """A dictionary that forgets entries not asked for during the last ``size`` new ones."""
 
@@ -45,20 +53,23 @@ class Encoder:
     """Ids as little-endian 32-bit integers of texts given as UTF-8 bytes."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.model = self.tokenizer.model
-        self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.visible = _visible()
         self.pieces = Memory(self._piece)
         self.words = Memory(self._word)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
-            piece = "".join(x for x, _ in self.level.pre_tokenize_str(piece))
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+            piece = piece.encode().decode("latin-1").translate(self.visible)
+        found = [t.id for t in self.model.tokenize(piece)]
+        return pack(f"<{len(found)}I", *found)
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only
+            return self.pieces[word.decode().lower()]
         text = word.decode()
         if b"<|" not in word and (_SIMPLE.fullmatch(text) or _LATIN.fullmatch(text)):
             return b"".join([self.pieces[p] for p in _PIECES.findall(text.lower())])
