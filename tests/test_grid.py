@@ -49,6 +49,22 @@ def test_padding_in_one_pass_equals_grid_join_and_fill(spark, seed):
     assert in_order(quick, *columns) == in_order(step_by_step(ticks), *columns)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_ticks_between_minutes_mark_their_date_only(spark, seed):
+    pick = random.Random(seed)
+    between = [(d, 60 * pick.randrange(400, 1000) + pick.randrange(1, 60), 1.0) for d in range(12) for _ in range(3)]
+    ticks = ticks_of(spark, messy_ticks(seed) + between)
+    columns = ("index_date", "index_time", "last_price", "no_trades")
+    quick = grid.pad_session(ticks, extras=["no_trades"])
+    assert in_order(quick, *columns) == in_order(step_by_step(ticks), *columns)
+
+
+def test_two_ticks_in_one_minute_fail(spark):
+    ticks = ticks_of(spark, [(0, 9 * 3600, 5.0), (0, 9 * 3600, 6.0), (0, 10 * 3600, 7.0)])
+    with pytest.raises(Exception, match="two ticks in one grid minute"):
+        grid.pad_session(ticks).collect()
+
+
 def test_padding_by_key(spark):
     parts = [ticks_of(spark, messy_ticks(s)).withColumn("k", F.lit(s)) for s in (7, 8)]
     both = parts[0].unionByName(parts[1])

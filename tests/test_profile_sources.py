@@ -136,3 +136,13 @@ def test_staging_needs_a_shared_folder(spark):
     from tickloom.session import staging_root
 
     assert staging_root(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_part_files_are_bound_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,10\n2,20\n")
+    (tmp_path / "b.csv").write_text('"y","x"\n30,3\n')
+    (tmp_path / "c.csv").write_text("x\n4\n")
+    got = files.scan_csv_directory(spark, str(tmp_path), "x int, y int")
+    assert sorted(map(tuple, got.collect())) == [(1, 10), (2, 20), (3, 30), (4, None)]
+    with pytest.raises(ValueError, match="not in the schema"):
+        files.scan_csv_directory(spark, str(tmp_path), "x int")

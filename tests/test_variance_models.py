@@ -100,6 +100,20 @@ def test_rolled_returns_keep_every_kth_of_the_whole_series(series):
         assert in_order(got.filter(f"s = {s} AND k = {k}"), "ret") == pytest.approx(sums[::k])
 
 
+def test_rolled_returns_across_dates(series):
+    pick = random.Random(6)
+    rows = [(d, m, 0.0 if m == 0 else pick.uniform(-1, 1)) for d in range(4) for m in range(50)]
+    df = series(rows, "log_ret")
+    got = variance.rolling_returns(df, [(5, 1), (10, 10), (30, 7)], across=True)
+    values = [v for _, _, v in rows]
+    for s, k in [(5, 1), (10, 10), (30, 7)]:
+        sums = [sum(values[i + 1 - s : i + 1]) for i in range(s - 1, len(values))]
+        assert in_order(got.filter(f"s = {s} AND k = {k}"), "ret") == pytest.approx(sums[::k])
+    assert got.filter("s = 10").count() == 20
+    with pytest.raises(Exception, match="does not open with NULL"):
+        variance.rolling_returns(df, [(10, 10)]).collect()
+
+
 def test_wide_table_equals_the_chain_of_joins(series):
     pick = random.Random(4)
     df = series([(d, m, None if m == 0 else pick.uniform(-1, 1)) for d in range(3) for m in range(20)], "log_ret")

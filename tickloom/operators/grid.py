@@ -118,11 +118,14 @@ def pad_session(
     Instead of building a grid and joining it, every tick is repeated for the
     minutes up to the next tick of its date, so the only shuffle of the series is
     the one by date. ``extras`` stay NULL on inserted minutes. A date whose ticks
-    all lie outside the session is kept and padded flat. The plan reads ``ticks``
-    twice (rows and carry): hand in a staged table.
+    all lie outside the session is kept and padded flat. A tick between two grid
+    minutes matches neither and only marks its date; two ticks in one grid minute
+    fail, since either could be its price. The plan reads ``ticks`` twice (rows and
+    carry): hand in a staged table.
     """
     axis = minute_axis(keys)
-    inside = in_session(F.col("index_time"), opening, closing)
+    on_grid = (F.col("index_time") - opening) % MINUTE == 0
+    inside = in_session(F.col("index_time"), opening, closing) & on_grid
     session = ticks.withColumn("_price", F.when(inside, F.col(price)))
     carry = known_price_carry(session, "_price", axis)
 
@@ -140,7 +143,9 @@ def pad_session(
     begin = F.when(F.col("_rank") == 1, F.lit(opening)).otherwise(F.col("index_time"))
     following = F.when(F.col("_inside"), F.col("_next")).otherwise(F.col("_entry"))
     end = F.coalesce(following - MINUTE, F.lit(closing))
-    slots = F.when(end >= begin, F.sequence(begin, end, F.lit(MINUTE)))
+    twice = F.col("_inside") & (F.col("_next") == F.col("index_time"))
+    failed = F.raise_error(F.lit("two ticks in one grid minute")).cast("array<int>")
+    slots = F.when(twice, failed).when(end >= begin, F.sequence(begin, end, F.lit(MINUTE)))
     own = F.col("_slot") == F.col("index_time")
     started = F.col("_slot") >= F.col("index_time")
     return (

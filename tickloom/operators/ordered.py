@@ -159,23 +159,37 @@ def rolling_sum(df: DataFrame, value: str, period: int, name: str, axis: Axis =
     return df.withColumn(name, guarded_sum(value, period, axis.within()))
 
 
-def rolling_sum_across(
-    df: DataFrame, value: str, period: int, name: str, axis: Axis = MINUTES, block: int = 4096
+def block_axis(axis: Axis = MINUTES) -> Axis:
+    """The axis of a series cut by :func:`sums_across`."""
+    return Axis("_block", ("_rank",), axis.keys)
+
+
+def sums_across(
+    df: DataFrame, value: str, names: Mapping[int, str], axis: Axis = MINUTES, block: int = 4096
 ) -> DataFrame:
-    """Right-aligned rolling sum over the whole series.
+    """Right-aligned rolling sums ``{period: name}`` over the whole series.
 
-    Rows are numbered and cut into blocks; the last ``period - 1`` rows of a block
-    are copied ahead of the next block, so that each block is a window on its own.
+    Rows are numbered (``_rank``) and cut into blocks (``_block``); the last rows of a
+    block, one less than the longest period, are copied ahead of the next block, so that
+    each block is a window on its own.
     """
-    size = max(block, period)
+    longest = max(names)
+    size = max(block, longest)
     at = F.col("_rank") - 1
     own = F.floor(at / size)
-    near_end = (at % size) >= size - (period - 1)
+    near_end = (at % size) >= size - (longest - 1)
     targets = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
     blocks = number_rows(df, "_rank", axis).withColumn("_own", own).withColumn("_block", F.explode(targets))
-    window = Window.partitionBy(*axis.keys, "_block").orderBy("_rank")
+    window = block_axis(axis).within()
     return (
-        blocks.withColumn(name, guarded_sum(value, period, window))
+        blocks.withColumns({name: guarded_sum(value, period, window) for period, name in names.items()})
         .filter(F.col("_block") == F.col("_own"))
-        .drop("_rank", "_own", "_block")
+        .drop("_own")
     )
+
+
+def rolling_sum_across(
+    df: DataFrame, value: str, period: int, name: str, axis: Axis = MINUTES, block: int = 4096
+) -> DataFrame:
+    """Right-aligned rolling sum over the whole series."""
+    return sums_across(df, value, {period: name}, axis, block).drop("_rank", "_block")

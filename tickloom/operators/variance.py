@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import annualise, is_missing, log_change
-from .ordered import Axis, MINUTES, START, HERE, guarded_sum, minute_axis
+from .ordered import Axis, MINUTES, START, HERE, block_axis, guarded_sum, minute_axis, sums_across
 
 SPARSE_GRID = range(1, 61)
 ROLLING_PERIODS = (5, 10, 15, 30)
@@ -117,29 +117,42 @@ def rolling_returns(
     pairs: Iterable[tuple[int, int]] = ROLLING_GRID,
     axis: Axis = MINUTES,
     value: str = "log_ret",
+    across: bool = False,
 ) -> DataFrame:
     """Long table ``(s, k, ..., ret)``: sums over ``s`` rows, of which, after the
     NULLs are gone, every ``k``-th of the whole series is kept.
 
-    All sums and all row numbers come from one window over each segment. Each segment must open with a NULL return.
+    All sums and all row numbers come from one window over each segment. That equals
+    sums over the whole series where each segment opens with NULL, as overnight
+    returns do; a later segment that opens otherwise fails. With ``across`` windows run from
+    one segment into the next, for overnight returns of zero: rows are then numbered
+    and cut into blocks, and ``returns`` is read several times, so hand in a staged table.
     """
     pairs = list(pairs)
     periods = sorted({s for s, _ in pairs})
-    day = axis.within()
-    sums = returns.select(*axis.segment_keys, *axis.order, value).withColumns(
-        {f"_sum{s}": guarded_sum(value, s, day) for s in periods}
-    )
-    sizes = sums.groupBy(*axis.segment_keys).agg(
-        *[F.count(f"_sum{s}").alias(f"_size{s}") for s in periods]
-    )
-    earlier = axis.across().rowsBetween(START, -1)
-    carry = sizes.select(
-        *axis.segment_keys,
-        *[F.coalesce(F.sum(f"_size{s}").over(earlier), F.lit(0)).alias(f"_offset{s}") for s in periods],
+    rows = returns.select(*axis.segment_keys, *axis.order, value)
+    if across:
+        place = block_axis(axis)
+        sums = sums_across(rows, value, {s: f"_sum{s}" for s in periods}, axis)
+    else:
+        place = axis
+        sums = rows.withColumns({f"_sum{s}": guarded_sum(value, s, axis.within()) for s in periods})
+    day = place.within()
+    sizes = sums.groupBy(*place.segment_keys).agg(
+        F.min_by(F.col(value).isNotNull(), place.position()).alias("_open"),
+        *[F.count(f"_sum{s}").alias(f"_size{s}") for s in periods],
     )
+    earlier = place.across().rowsBetween(START, -1)
+    offset = lambda s: F.coalesce(F.sum(f"_size{s}").over(earlier), F.lit(0))
+    if not across:
+        crossed = F.col("_open") & F.lag("_open").over(place.across()).isNotNull()
+        failed = F.raise_error(F.lit("a later segment does not open with NULL; use across=True")).cast("bigint")
+        within = offset
+        offset = lambda s: F.when(crossed, failed).otherwise(within(s))
+    carry = sizes.select(*place.segment_keys, *[offset(s).alias(f"_offset{s}") for s in periods])
     ranked = sums.withColumns(
         {f"_rank{s}": F.count(f"_sum{s}").over(day.rowsBetween(START, HERE)) for s in periods}
-    ).join(carry, axis.segment_keys, "left")
+    ).join(carry, place.segment_keys, "left")
     choices = F.array(
         *[
             F.struct(
@@ -163,10 +176,10 @@ def rolling_rv(rolled: DataFrame, keys: Sequence[str] = (), form: str = "252_sqr
 
 
 def sparse_rv_rolling(
-    returns: DataFrame, periods: Iterable[int] = ROLLING_PERIODS, keys: Sequence[str] = ()
+    returns: DataFrame, periods: Iterable[int] = ROLLING_PERIODS, keys: Sequence[str] = (), across: bool = False
 ) -> DataFrame:
     """Every ``s``-th of the sums over ``s`` rows, squared and summed per date."""
-    rolled = rolling_returns(returns, [(s, s) for s in periods], minute_axis(keys))
+    rolled = rolling_returns(returns, [(s, s) for s in periods], minute_axis(keys), across=across)
     rv = sum_of_squares(rolled, "ret", [*keys, "s", "index_date"], "rv_sparse")
     return rv.withColumn("rv_sparse_an", annualise(F.col("rv_sparse"))).withColumnRenamed("s", "s_grid")
 

@@ -40,15 +40,18 @@ def scan_csv(spark, folder):
         SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderstatus <> 'F'""",
 )
 def scan_csv_dir(spark, folder):
+    """One directory of part files with three headers: two orders, and a column missing in each."""
     orders = inputs.orders(spark, folder)
-    done = orders.filter("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
-    rest = orders.filter("o_orderstatus <> 'F'").select("o_orderkey", "o_orderpriority")
-    parts = []
-    for part in (done, rest):
-        path = staging_path(spark, "csv-part")
-        files.sink_csv_overwrite(part, path)
-        parts.append((path, part.schema))
-    return files.scan_csv_parts(spark, parts)
+    path = staging_path(spark, "csv-parts")
+    done, rest = orders.filter("o_orderstatus = 'F'"), orders.filter("o_orderstatus <> 'F'")
+    parts = (
+        done.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice"),
+        done.filter("o_orderkey % 2 <> 0").select("o_totalprice", "o_orderkey"),
+        rest.select("o_orderkey", "o_orderpriority"),
+    )
+    for n, part in enumerate(parts):
+        files.sink_csv_overwrite(part, f"{path}/part-{n}")
+    return files.scan_csv_directory(spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string")
 
 
 @query(

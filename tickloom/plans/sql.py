@@ -115,19 +115,27 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+# Returns with 0 instead of NULL where the date changes.
+PARTS["zero_returns"] = (
+    ("moves",),
+    f"""SELECT index_date, index_time, {clip("CASE WHEN NOT date_change THEN raw_ret ELSE 0.0 END")} AS log_ret
+    FROM moves""",
+)
+
 # Rolling sums of log_ret over the whole series: NULL unless all rows are known.
 for _s in (3, 5, 10, 15, 30):
-    PARTS[f"roll{_s}"] = (
-        ("returns",),
-        f"""SELECT index_date, index_time, CASE WHEN count(log_ret) OVER w = {_s}
-            THEN sum(log_ret) OVER w END AS ret
-        FROM returns WINDOW w AS (ORDER BY index_date, index_time ROWS BETWEEN {_s - 1} PRECEDING AND CURRENT ROW)""",
-    )
-    PARTS[f"rank{_s}"] = (
-        (f"roll{_s}",),
-        f"""SELECT *, row_number() OVER (ORDER BY index_date, index_time) AS rn
-        FROM roll{_s} WHERE ret IS NOT NULL""",
-    )
+    for _prefix in ("", "zero_"):
+        PARTS[f"{_prefix}roll{_s}"] = (
+            (f"{_prefix}returns",),
+            f"""SELECT index_date, index_time, CASE WHEN count(log_ret) OVER w = {_s}
+                THEN sum(log_ret) OVER w END AS ret FROM {_prefix}returns
+            WINDOW w AS (ORDER BY index_date, index_time ROWS BETWEEN {_s - 1} PRECEDING AND CURRENT ROW)""",
+        )
+        PARTS[f"{_prefix}rank{_s}"] = (
+            (f"{_prefix}roll{_s}",),
+            f"""SELECT *, row_number() OVER (ORDER BY index_date, index_time) AS rn
+            FROM {_prefix}roll{_s} WHERE ret IS NOT NULL""",
+        )
 
 
 def statement(body: str, *names: str) -> str:

@@ -183,6 +183,75 @@ def signature_wide(spark, folder):
     return rv_ops.signature_wide(_estimators(spark, folder, rv_ops.estimators_by_date))
 
 
+# The same where overnight returns are 0, so that windows run from one date into the next.
+_ZERO_RANKS = [f"zero_{name}" for name in _RANKS]
+
+
+def _of_zero(sql: str) -> str:
+    return sql.replace("FROM rank", "FROM zero_rank")
+
+
+def _zero_returns(spark, folder):
+    zeroed = log_returns(inputs.padded(spark, folder), overnight="zero")
+    series = clip_returns(zeroed, inputs.THRESHOLD).select("index_date", "index_time", "log_ret")
+    return inputs.stage(series, "zero-returns")
+
+
+def _zero_estimators(spark, folder):
+    series = _zero_returns(spark, folder)
+    sparse = rv_ops.sparse_rv_rolling(series, across=True)
+    return rv_ops.estimators_by_date(rv_ops.realized_variance(series), sparse)
+
+
+@query(
+    "rolling_grid_s_k_zero",
+    statement(
+        f"SELECT s, k, index_date, index_time, {r('ret')} AS ret FROM ({_of_zero(_GRID)})", *_ZERO_RANKS
+    ),
+)
+def rolling_grid_s_k_zero(spark, folder):
+    return rv_ops.rolling_returns(_zero_returns(spark, folder), across=True)
+
+
+@query(
+    "sparse_rv_rolling_zero",
+    statement(
+        f"""SELECT CAST(s_grid AS BIGINT) AS s_grid, index_date, {r('rv_sparse')} AS rv_sparse,
+            {r('sqrt(252 * rv_sparse)')} AS rv_sparse_an FROM ({_of_zero(_ROLLED)})""",
+        *_ZERO_RANKS,
+    ),
+)
+def sparse_rv_rolling_zero(spark, folder):
+    return rv_ops.sparse_rv_rolling(_zero_returns(spark, folder), across=True)
+
+
+@query(
+    "multiway_left_join_zero",
+    statement(
+        f"""SELECT index_date, {r('rv')} AS rv, {', '.join(f'{r(f'rv_s{s}')} AS rv_s{s}' for s in _PERIODS)}
+        FROM ({_of_zero(_WIDE)})""",
+        "rv",
+        *_ZERO_RANKS,
+    ),
+)
+def multiway_left_join_zero(spark, folder):
+    return _zero_estimators(spark, folder)
+
+
+@query(
+    "signature_wide_zero",
+    statement(
+        f"""SELECT unnest(['s1', 's5', 's10', 's15', 's30']) AS s, unnest([{r('avg(rv)')}, {r('avg(rv_s5)')},
+            {r('avg(rv_s10)')}, {r('avg(rv_s15)')}, {r('avg(rv_s30)')}]) AS avg_rv_sparse,
+            unnest([1, 5, 10, 15, 30]::BIGINT[]) AS minutes FROM ({_of_zero(_WIDE)})""",
+        "rv",
+        *_ZERO_RANKS,
+    ),
+)
+def signature_wide_zero(spark, folder):
+    return rv_ops.signature_wide(_zero_estimators(spark, folder))
+
+
 @query(
     "acf",
     statement(

@@ -16,8 +16,8 @@ def scan_parquet(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.parquet(path)
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A CSV file, or a directory of part files with one schema. Lazy and uncached.
+def scan_csv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
+    """A CSV file, some, or a directory of part files with one schema. Lazy and uncached.
 
     A header with other names, or the same in another order, fails.
     """
@@ -30,6 +30,32 @@ def scan_csv_parts(spark: SparkSession, parts: Sequence[tuple[str, StructType |
     return bind_rows(*[scan_csv(spark, path, schema) for path, schema in parts])
 
 
+def scan_csv_directory(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """All part files of a directory, whatever the order of their columns, bound by name.
+
+    The first line of each file is read for its header. What reaches the driver is one row
+    per file; files with equal headers are then read together. Columns that a
+    file lacks are NULL, columns that ``schema`` lacks fail. Headers are bare names
+    separated by commas.
+    """
+    wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    firsts = lines.select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value")
+    heads = firsts.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header")
+    parts = []
+    for header, files in groups.collect():
+        names = [n.strip().strip('"') for n in header.split(",")]
+        unknown = sorted(set(names) - set(wanted.names))
+        if unknown:
+            raise ValueError(f"columns {unknown} of {files[0]} are not in the schema")
+        own = StructType([wanted[n] for n in names])
+        parts.append(scan_csv(spark, files, own))
+    bound = bind_rows(spark.createDataFrame([], wanted), *parts)
+    return bound.select(*wanted.names)
+
+
 def number_or_null(text: Column, tokens: Sequence[str] = NA_TOKENS) -> Column:
     """Text -> double; any of the given spellings means missing, other text fails."""
     kept = F.when(~F.trim(text).isin(*tokens), text)
