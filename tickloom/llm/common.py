@@ -14,9 +14,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 __all__ = ["prepared", "stage", "table", "with_fields"]
 
 
+#: Size of an Arrow batch, unless the session names one. The default is 64 MB, which both
+#: sides of a Python task hold several times over, outside the heap.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where the driver found it."""
+    """Let Python workers find this package where the driver found it, in small Arrow batches."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return spark
 
 
