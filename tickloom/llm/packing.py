@@ -159,6 +159,7 @@ def pack(
                     packer.add(names[s.first + i].as_py(), ids_of(raw[a:b]) + tail)
                 if packer.held >= block:
                     yield rows(packer.flush(False))
+        ids_of.rest()
         yield rows(packer.flush(True))
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:

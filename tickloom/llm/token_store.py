@@ -42,6 +42,7 @@ def encode(docs: DataFrame, vocabulary: str, end: int, id_column: str = "doc_id"
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(s.first, s.rows), counts, id_lists(encoded)], names=schema.names
                 )
+        ids_of.rest()
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     schema = with_fields(rows.select("doc_id").schema, "n_tokens long, ids array<int>")

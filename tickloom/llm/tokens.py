@@ -48,6 +48,10 @@ class Memory:
             self.new[key] = value
         return value
 
+    def rest(self) -> None:
+        """Keep the recent half only."""
+        self.old = {}
+
 
 class Encoder:
     """Ids as little-endian 32-bit integers of texts given as UTF-8 bytes."""
@@ -81,6 +85,12 @@ class Encoder:
         return b"".join([recent(w) or words[w] for w in text.split()])
 
 
+    def rest(self) -> None:
+        """Called when a task ends: the worker may go on to other work and should hold less."""
+        self.words.rest()
+        self.pieces.rest()
+
+
 @cache
 def encoder(vocabulary: str) -> Encoder:
     """One encoder for a worker process; it outlives the task."""
