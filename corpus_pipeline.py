@@ -53,9 +53,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents, with their token ids, in sequences of at most 4096 tokens."""
     prepared(spark)
-    return pack(docs, vocabulary(), end=2, with_ids=False)
+    return pack(docs, vocabulary(), end=2)
 
 
 STAGES = [

@@ -11,10 +11,10 @@ from . import language, quality_model
 from .common import table
 from .decontaminate import contamination_report, find_contamination
 from .minhash import near_duplicates
-from .packing import pack
+from .packing import digests as piece_digests, pack
 from .quality_rules import quality_rules
 from .substrings import substring_dedup
-from .token_store import digests, read_tokens, with_starts, write_tokens
+from .token_store import FORMAT, digests, read_tokens, with_starts, write_tokens
 from .url_filter import Rule, filter_urls, host_of
 from .warc import read_archive, write_archive
 
@@ -88,7 +88,11 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(table(spark, folder, "documents"), vocabulary(), end=2, with_ids=False)
+    path = staging_path(spark, "packed")
+    packed = pack(table(spark, folder, "documents"), vocabulary(), end=2)
+    packed.write.options(**FORMAT).parquet(path)
+    found = piece_digests(spark.read.schema(packed.schema).parquet(path))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
