@@ -60,11 +60,10 @@ def features(column: pa.Array, wanted: "Vocabulary | None" = None) -> Iterator[n
         words = word_hashes(s)
         for i in range(s.rows):
             own = words[s.bounds[i] : s.bounds[i + 1]]
-            # the repetition of words is read from a prefix-free sample of hashes: their low bits
-            some = own[(own & U(3)) == U(0)]
+            distinct = np.unique(own)
             at = s.first + i
-            shape = mix(np.array(_shape(data[edges[at] : edges[at + 1]], len(some), len(np.unique(some))), U))
-            every = np.concatenate([own, shape])
+            shape = mix(np.array(_shape(data[edges[at] : edges[at + 1]], len(own), len(distinct)), U))
+            every = np.concatenate([distinct, shape])
             yield np.unique(every) if wanted is None else wanted.places(every)
 
 
