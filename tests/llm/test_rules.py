@@ -2,6 +2,7 @@
 
 import base64
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -33,3 +34,16 @@ def test_the_only_full_chunk_of_a_text_is_judged(spark):
     assert low <= found[1].ratio <= high and not found[1].base_failed
     assert (found[1].n_chunks, found[1].n_bad_chunks, found[1].kept) == (1, 1, False)
     assert found[2].n_chunks == 0
+
+
+def test_long_texts_agree_with_plain_counts(spark):
+    draw = random.Random(4)
+    texts = [" ".join(f"w{draw.randrange(r)}" for _ in range(n)) for n, r in ((3000, 30), (6000, 40), (250_000, 200))]
+    rows = list(enumerate(texts))
+    for r in quality_rules(prepared(spark).createDataFrame(rows, "doc_id long, text string")).collect():
+        words = texts[r.doc_id].split(" ")
+        runs = list(zip(words, words[1:], words[2:]))
+        often = Counter(runs)
+        hit = {i + k for i, run in enumerate(runs) if often[run] > 1 for k in range(3)}
+        assert (r.n_words, r.n_repeat_words, r.word_chars) == (len(words), len(hit), sum(map(len, words)))
+        assert r.n_chunks == len(texts[r.doc_id]) // CHUNK and r.base_failed == (100 * len(hit) > 50 * len(words))
