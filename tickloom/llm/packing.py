@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import with_fields
-from .text import spaced, stretches
+from .text import portions
 from .tokens import encoder, id_lists, sentence_ends
 
 SIZE = 4096
@@ -91,19 +91,19 @@ class Packer:
 
     def __init__(self, closing: np.ndarray, size: int, slice_number: int):
         self.closing, self.size, self.sequence = closing, size, slice_number << 32
-        self.docs: list[list] = []  # id, tokens already placed, bytes of the rest, tokens in all
+        self.docs: list[list] = []  # id, tokens already placed, the other ids, tokens in all
         self.held = 0
 
-    def add(self, name, encoded: bytes) -> None:
-        self.docs.append([name, 0, memoryview(encoded), len(encoded) // 4])
-        self.held += len(encoded) // 4
+    def add(self, name, ids: np.ndarray) -> None:
+        self.docs.append([name, 0, ids, len(ids)])
+        self.held += len(ids)
 
     def flush(self, last: bool) -> list[tuple]:
-        """Pieces (id, start, length, bytes, tokens in all, sequence, offset)."""
+        """Pieces (id, start, ids, tokens in all, sequence, offset)."""
         if not self.held:
             return []
-        ids = np.frombuffer(b"".join(d[2] for d in self.docs), "<i4")
-        ends = np.cumsum([len(d[2]) // 4 for d in self.docs])
+        ids = np.concatenate([d[2] for d in self.docs])
+        ends = np.cumsum([len(d[2]) for d in self.docs])
         places, penalty = possible_cuts(ids, ends, self.closing)
         chosen = places[cuts_of(places, penalty, self.size, PER_WINDOW)]
         if not last:
@@ -113,11 +113,11 @@ class Packer:
             offset = 0
             while begin + offset < cut:
                 name, placed, rest, total = doc = self.docs[k]
-                n = min(len(rest) // 4, cut - begin - offset)
-                out.append((name, placed, n, rest[: 4 * n], total, self.sequence, offset))
-                doc[1], doc[2] = placed + n, rest[4 * n :]
+                n = min(len(rest), cut - begin - offset)
+                out.append((name, placed, rest[:n], total, self.sequence, offset))
+                doc[1], doc[2] = placed + n, rest[n:]
                 offset += n
-                k += not doc[2]
+                k += n == len(rest)
             begin = cut
             self.sequence += 1
         self.docs = self.docs[k:]
@@ -146,29 +146,28 @@ def pack(
     passed on; rows that repeat an id are separate documents in the order of their texts;
     other columns are not read. An empty table gives no pieces.
     """
-    tail = int(end).to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary)
+        encode = encoder(vocabulary)
         packer = Packer(sentence_ends(vocabulary), size, TaskContext.get().partitionId())
         for batch in batches:
             names = batch.column(0)
-            for s in stretches(batch.column(1), spaced()):
-                raw = s.data.tobytes()
-                for i, (a, b) in enumerate(zip(s.edges[:-1].tolist(), s.edges[1:].tolist())):
-                    packer.add(names[s.first + i].as_py(), ids_of(raw[a:b]) + tail)
+            for first, data, edges in portions(batch.column(1)):
+                ids, counts = encode.closed(data, edges, end)
+                at = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                for name, a, b in zip(names[first : first + len(counts)].to_pylist(), at, at[1:]):
+                    packer.add(name, ids[a:b])
                 if packer.held >= block:
                     yield rows(packer.flush(False))
-        ids_of.rest()
         yield rows(packer.flush(True))
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*pieces)) if pieces else [()] * 7
-        sums = [zlib.crc32(x) for x in columns[3]]
-        made = [columns[1], columns[2], sums, columns[4], columns[5], columns[6]]
-        arrays = [pa.array(columns[0], kind), *[pa.array(x, pa.int64()) for x in made]]
+        names, starts, ids, totals, sequences, offsets = zip(*pieces) if pieces else [()] * 6
+        sums = [zlib.crc32(x.view(np.uint8)) for x in ids]
+        counts = np.array([len(x) for x in ids], np.int64)
+        made = [starts, counts, sums, totals, sequences, offsets]
+        arrays = [pa.array(names, kind), *[pa.array(x, pa.int64()) for x in made]]
         if with_ids:
-            arrays.append(id_lists(list(columns[3])))
+            arrays.append(id_lists(np.concatenate([np.zeros(0, np.int32), *ids]), counts))
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     texts = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))

@@ -75,6 +75,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def stretches(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Iterator[Stretch]:
     """The rows of ``column`` in stretches, split into words of the bytes in ``inside``."""
+    for first, part, own in portions(column):
+        if lower:
+            part = lowered()[part]
+        yield Stretch(first, part, own, *_words(part, own, inside))
+
+
+def portions(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows of ``column`` in stretches: number of the first row, bytes, and edges of the rows."""
     if not len(column):
         return
     data, edges = raw(column)
@@ -82,11 +90,7 @@ def stretches(column: pa.Array, inside: np.ndarray, lower: bool = False) -> Iter
     while first < len(column):
         last = int(np.searchsorted(edges, edges[first] + STRETCH, "right")) - 1
         last = min(max(last, first + 1), len(column))
-        part = data[edges[first] : edges[last]]
-        own = edges[first : last + 1] - edges[first]
-        if lower:
-            part = lowered()[part]
-        yield Stretch(first, part, own, *_words(part, own, inside))
+        yield first, data[edges[first] : edges[last]], edges[first : last + 1] - edges[first]
         first = last
 
 
@@ -110,13 +114,13 @@ def _byte_codes() -> np.ndarray:
     return np.random.default_rng(20240117).integers(1, 2**63, 256, np.int64).astype(U) | U(1)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    size = 1 << max(16, (max(n, 1) - 1).bit_length())
-    if size not in _powers:
+    """At least ``n`` powers of an odd number and of its inverse modulo 2**64; the largest tables are kept."""
+    if not _powers or len(_powers[0][0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
         base = 0x5851F42D4C957F2D
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -126,9 +130,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
                 table = np.concatenate([table, table * U(step)])
                 step = step * step % (1 << 64)
             both.append(table)
-        _powers.clear()
-        _powers[size] = tuple(both)
-    return _powers[size]
+        _powers[:] = [tuple(both)]
+    return _powers[0]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import prepared, with_fields
-from .text import spaced, stretches
+from .text import portions
 from .tokens import encoder, id_lists
 
 #: Ids repeat, so they are dictionary encoded; the columns that describe a document are
@@ -30,19 +30,14 @@ FORMAT = {
 
 def encode(docs: DataFrame, vocabulary: str, end: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): the ids of each text, then ``end``; a null text counts as empty."""
-    tail = int(end).to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(vocabulary)
+        encode = encoder(vocabulary)
         for batch in batches:
-            for s in stretches(batch.column(1), spaced()):
-                raw = s.data.tobytes()
-                encoded = [ids_of(raw[a:b]) + tail for a, b in zip(s.edges[:-1].tolist(), s.edges[1:].tolist())]
-                counts = pa.array([len(x) // 4 for x in encoded], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.first, s.rows), counts, id_lists(encoded)], names=schema.names
-                )
-        ids_of.rest()
+            for first, data, edges in portions(batch.column(1)):
+                ids, counts = encode.closed(data, edges, end)
+                names = batch.column(0).slice(first, len(counts))
+                made = [pa.array(counts, pa.int64()), id_lists(ids, counts)]
+                yield pa.RecordBatch.from_arrays([names, *made], names=schema.names)
 
     rows = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
     schema = with_fields(rows.select("doc_id").schema, "n_tokens long, ids array<int>")

@@ -1,94 +1,327 @@
-"""Token ids of whole texts, from the tokenizers library, with words encoded once.
+"""Token ids of whole texts, from the tokenizers library, with every piece of text asked for once.
 
-The vocabulary file splits texts at white space and, within printable ASCII, between
-letters, digits and signs, so a text's ids are its words' ids one after the other. A
-worker keeps the ids of words it has seen (a bounded number) and asks the library for
-others only. Words for which pieces might not be independent go to the library whole.
+The usual vocabulary file splits texts into pieces (runs of letters, single digits, runs of
+signs) that are encoded one by one. A worker finds the pieces of a stretch of texts in
+numpy, looks all of them up in a table of the pieces it has met, and asks the library for
+the distinct new ones only. Words for which the pieces might depend on each other go to
+the library whole, and so do the texts of any file with other rules.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from functools import cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 
-#: Words and pieces remembered by a worker: at most twice this many of each (about 150 MB).
-REMEMBERED = 300_000
+from .text import U, lowered
 
-_SIMPLE = re.compile(r"[!-&(-~]+")  # printable ASCII but the apostrophe, which joins letters after it
-_LATIN = re.compile(r"[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+[!-&(-;=?-~]*")  # letters, then perhaps signs
-_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Pieces that a worker remembers (about 30 bytes each) before it starts afresh.
+REMEMBERED = 1 << 20
+#: Bytes of text taken at once.
+CHUNK = 1 << 20
+#: Longest word, in bytes, that is remembered by its spelling instead of by its first and last 8 bytes.
+LONGEST = 64
 
+#: The rules under which a text's ids are the ids of its pieces.
+RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 
-def _visible() -> dict[int, str]:
-    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    return {b: chr(256 + n) for n, b in enumerate(others)}
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_K1, _K2, _K3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
 
 
-class Memory:
-    """A dictionary that forgets entries not asked for during the last ``size`` new ones."""
+@cache
+def _classes() -> np.ndarray:
+    """What a byte is by itself. 0xC3 opens the Latin letters that have a simple lower case;
+    control bytes, other bytes beyond ASCII and the apostrophe, which joins letters after it, are odd."""
+    table = np.full(256, _ODD, np.uint8)
+    table[33:127] = _SIGN
+    table[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+    table[48:58] = _DIGIT
+    table[39] = _ODD
+    table[[32, *range(9, 14)]] = _SPACE
+    return table
+
+
+@cache
+def _masks() -> np.ndarray:
+    """Masks of the first n bytes of eight."""
+    return np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], U)
+
+
+class Table:
+    """Ids of known pieces. Entry 0 stands for "not there"."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits = max(10, (2 * self.most - 1).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self.head, self.tail = np.zeros(self.most + 1, U), np.zeros(self.most + 1, U)
+        self.length = np.zeros(self.most + 1, np.uint8)
+        self.start, self.count = np.zeros(self.most + 1, np.int64), np.zeros(self.most + 1, np.int32)
+        self.pool = np.zeros(4 * self.most, np.int32)
+        self.entries, self.used = 1, 0
+        self.loose: dict[bytes, int] = {}
+
+    def fits(self, new: int) -> bool:
+        return self.entries + new <= self.most
+
+    def grow(self, new: int) -> None:
+        """Room for one chunk that alone has more pieces than are remembered."""
+        self.most = self.entries + new
+        self.clear()
 
-    def __init__(self, make, size: int = REMEMBERED):
-        self.make, self.size = make, size
-        self.new, self.old = {}, {}
+    def _slot(self, head, tail, length) -> np.ndarray:
+        h = head * _K1 + tail * _K2 + length
+        h ^= h >> U(32)
+        h *= _K3
+        return (h >> U(64 - self.bits)).astype(np.int64)
 
-    def __getitem__(self, key):
-        value = self.new.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.make(key)
-            if len(self.new) >= self.size:
-                self.old, self.new = self.new, {}
-            self.new[key] = value
-        return value
+    def find(self, head: np.ndarray, tail: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Entries of pieces of up to 16 bytes, which first and last eight bytes and length tell apart."""
+        slot = self._slot(head, tail, length)
+        entry = self.slots[slot]
+        wrong = (self.head[entry] != head) | (self.tail[entry] != tail) | (self.length[entry] != length)
+        at = np.flatnonzero(wrong & (entry > 0))
+        while len(at):  # another piece lies in the slot: go on to the next
+            slot[at] = (slot[at] + 1) & (len(self.slots) - 1)
+            entry[at] = found = self.slots[slot[at]]
+            same = (self.head[found] == head[at]) & (self.tail[found] == tail[at]) & (self.length[found] == length[at])
+            at = at[(found > 0) & ~same]
+        return entry
 
-    def rest(self) -> None:
-        """Keep the recent half only."""
-        self.old = {}
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """New entries whose ids follow each other in ``ids``."""
+        n, total = len(counts), len(ids)
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), total), np.int32)])
+        new = np.arange(self.entries, self.entries + n)
+        self.pool[self.used : self.used + total] = ids
+        self.start[new] = self.used + np.cumsum(counts) - counts
+        self.count[new] = counts
+        self.entries += n
+        self.used += total
+        return new
+
+    def place(self, new: np.ndarray, head: np.ndarray, tail: np.ndarray, length: np.ndarray) -> None:
+        self.head[new], self.tail[new], self.length[new] = head, tail, length
+        slot = self._slot(head, tail, length)
+        while len(new):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = new[free]
+            left = self.slots[slot] != new
+            new, slot = new[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def gather(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the entries one after the other, and how many end before each."""
+        counts = self.count[entry]
+        ends = np.zeros(len(entry) + 1, np.int64)
+        np.cumsum(counts, out=ends[1:])
+        at = np.repeat(self.start[entry] - ends[:-1], counts)
+        at += np.arange(ends[-1])
+        return self.pool[at], ends
 
 
 class Encoder:
-    """Ids as little-endian 32-bit integers of texts given as UTF-8 bytes."""
+    """Ids of texts given as UTF-8 bytes."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.model = self.tokenizer.model
-        self.visible = _visible()
-        self.pieces = Memory(self._piece)
-        self.words = Memory(self._word)
-
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode().decode("latin-1").translate(self.visible)
-        found = [t.id for t in self.model.tokenize(piece)]
-        return pack(f"<{len(found)}I", *found)
-
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters only
-            return self.pieces[word.decode().lower()]
-        text = word.decode()
-        if b"<|" not in word and (_SIMPLE.fullmatch(text) or _LATIN.fullmatch(text)):
-            return b"".join([self.pieces[p] for p in _PIECES.findall(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        with open(vocabulary, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_pieces = (
+            all(told.get(k) == v for k, v in RULES.items())
+            and told.get("post_processor") is None
+            and told["model"].get("type") == "BPE"
+            and all(t["content"].startswith("<|") and not t["normalized"] for t in told["added_tokens"])
+            and not any(t["lstrip"] or t["rstrip"] for t in told["added_tokens"])
+        )
+        self.table = Table(remembered) if self.by_pieces else None
+
+    def rows(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after the other, and their number per row.
+
+        Row i is ``data[edges[i]:edges[i + 1]]``; edges start at 0.
+        """
+        if not self.by_pieces:
+            raw = data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+            found = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int64)
+        parts, before = [], np.zeros(len(edges), np.int64)
+        at, done = 0, 0
+        while at < len(data):
+            to = self._border(data, edges, at)
+            first, last = np.searchsorted(edges, [at, to], "right")
+            own = edges[first:last] - at  # edges beyond the first byte, up to the last
+            ids, told = self._chunk(data[at:to], own)
+            before[first:last] = done + told
+            parts.append(ids)
+            done += len(ids)
+            at = to
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.diff(before)
 
     def __call__(self, text: bytes) -> bytes:
-        words = self.words
-        recent = words.new.get  # most words are there
-        return b"".join([recent(w) or words[w] for w in text.split()])
+        ids, _ = self.rows(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        return ids.astype("<i4").tobytes()
+
+    @staticmethod
+    def _border(data: np.ndarray, edges: np.ndarray, at: int) -> int:
+        """The first end of a row or blank at least a chunk further on."""
+        to = at + CHUNK
+        if to >= len(data):
+            return len(data)
+        row_end = int(edges[np.searchsorted(edges, to)])
+        while to < row_end:
+            blank = np.flatnonzero(_classes()[data[to : min(to + 4096, row_end)]] == _SPACE)
+            if len(blank):
+                return to + int(blank[0])
+            to += 4096
+        return row_end
 
+    def _chunk(self, data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a chunk, and how many lie before each of the edges."""
+        n = len(data)
+        kind = _classes()[data]
+        low = np.zeros(n + 8, np.uint8)
+        low[:n] = lowered()[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+        if len(lead):
+            second = data[lead + 1]
+            latin = lead[(second != 0x97) & (second != 0xB7)] + 1
+            kind[latin] = _LETTER
+            low[latin[data[latin] < 0x9F]] += 0x20
+        blank_before = np.empty(n, bool)
+        blank_before[:1] = True
+        np.equal(kind[:-1], _SPACE, out=blank_before[1:])
+        blank_before[edges[edges < n]] = True
+        inside = kind != _SPACE
+        opens = np.empty(n, bool)
+        opens[:1] = True
+        np.not_equal(kind[1:], kind[:-1], out=opens[1:])
+        opens |= blank_before
+        opens |= kind == _DIGIT
+        opens &= inside
+        begin = np.flatnonzero(opens)
+        closes = inside.copy()
+        closes[:-1] &= opens[1:] | ~inside[1:]
+        closes[edges[edges > 0] - 1] |= inside[edges[edges > 0] - 1]
+        end = np.flatnonzero(closes) + 1
 
-    def rest(self) -> None:
-        """Called when a task ends: the worker may go on to other work and should hold less."""
-        self.words.rest()
-        self.pieces.rest()
+        strange = np.flatnonzero(kind == _ODD)
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if n else strange
+        whole = np.zeros(len(begin), bool)
+        if len(strange) or len(marks):
+            word_begin = np.flatnonzero(inside & blank_before)
+            last = inside.copy()
+            last[:-1] &= blank_before[1:]
+            last[:-1] |= inside[:-1] & ~inside[1:]
+            word_end = np.flatnonzero(last) + 1
+            odd = np.unique(np.searchsorted(word_begin, np.concatenate([strange, marks]), "right") - 1)
+            odd_begin, odd_end = word_begin[odd], word_end[odd]
+            k = np.searchsorted(odd_begin, begin, "right") - 1
+            stay = (k < 0) | (begin >= odd_end[k])
+            order = np.argsort(np.concatenate([begin[stay], odd_begin]), kind="stable")
+            begin = np.concatenate([begin[stay], odd_begin])[order]
+            end = np.concatenate([end[stay], odd_end])[order]
+            whole = np.concatenate([np.zeros(int(stay.sum()), bool), np.ones(len(odd), bool)])[order]
+        ids, ends = self.table.gather(self._entries(data, low, begin, end, whole))
+        return ids, ends[np.searchsorted(begin, edges)]
+
+    def _entries(self, data, low, begin, end, whole) -> np.ndarray:
+        length = end - begin
+        short = ~whole & (length <= 16)
+        eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
+        b, e, n = begin[short], end[short], length[short].astype(np.uint8)
+        head = eight[b] & _masks()[n]
+        tail = np.where(n > 8, eight[np.maximum(e - 8, 0)], U(0))
+        table = self.table
+        entry = np.zeros(len(begin), np.int32)
+        found = table.find(head, tail, n)
+        miss = np.flatnonzero(found == 0)
+        if len(miss):
+            order = miss[np.lexsort((n[miss], tail[miss], head[miss]))]
+            new = np.ones(len(order), bool)
+            for x in (n, tail, head):
+                x = x[order]
+                new[1:] &= x[1:] == x[:-1]
+            new[1:] = ~new[1:]
+            fresh = order[new]
+            if not table.fits(len(fresh)):
+                # start afresh; a chunk of many new pieces gets a table that holds them
+                table.clear() if len(fresh) * 2 <= table.most else table.grow(4 * len(begin))
+                return self._entries(data, low, begin, end, whole)
+            raw = low.tobytes()
+            made = table.add(*self._pieces([raw[x:y] for x, y in zip(b[fresh].tolist(), e[fresh].tolist())]))
+            table.place(made, head[fresh], tail[fresh], n[fresh])
+            found[order] = made[np.cumsum(new) - 1]
+        entry[short] = found
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            spelled, odd = [], whole[rest].tolist()
+            for x, y, w in zip(begin[rest].tolist(), end[rest].tolist(), odd):
+                spelled.append((data if w else low)[x:y].tobytes())
+            unknown = list({s: w for s, w in zip(spelled, odd) if s not in table.loose}.items())
+            if not table.fits(len(unknown)):
+                table.clear() if len(unknown) * 2 <= table.most else table.grow(4 * len(begin))
+                return self._entries(data, low, begin, end, whole)
+            known = dict(table.loose) if len(unknown) > len(table.loose) else table.loose
+            for kind in (False, True):
+                chosen = [s for s, w in unknown if w == kind]
+                if chosen:
+                    made = table.add(*(self._words(chosen) if kind else self._pieces(chosen)))
+                    known.update(zip(chosen, made.tolist()))
+            entry[rest] = [known[s] for s in spelled]
+            table.loose = {s: k for s, k in known.items() if len(s) <= LONGEST}
+        return entry
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
+        return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int32)
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Blanks keep pieces apart, so one call encodes all; the library tells which piece an id is of."""
+        told = self.tokenizer.encode(b" ".join(pieces).decode(), add_special_tokens=False)
+        counts = np.bincount(np.array(told.word_ids, np.int64), minlength=len(pieces))
+        if len(counts) != len(pieces):
+            return self._words(pieces)
+        return np.array(told.ids, np.int32), counts.astype(np.int32)
+
+    def closed(self, data: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`rows`, with the id ``end`` after each row."""
+        ids, counts = self.rows(data, edges)
+        out = np.full(len(ids) + len(counts), end, np.int32)
+        at = np.repeat(np.arange(len(counts)), counts)
+        at += np.arange(len(ids))
+        out[at] = ids
+        return out, counts + 1
 
 
 @cache
@@ -97,19 +330,19 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])]).astype(np.int32)
-    return pa.ListArray.from_arrays(edges, pa.array(np.frombuffer(b"".join(encoded), "<i4"), pa.int32()))
+def id_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    """Lists of ``counts`` ids each."""
+    edges = np.zeros(len(counts) + 1, np.int32)
+    np.cumsum(counts, out=edges[1:])
+    return pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(ids, np.int32), pa.int32()))
 
 
 @cache
 def sentence_ends(vocabulary: str) -> np.ndarray:
     """Which ids close a sentence: tokens that end a word with a full stop or the like."""
-    import json
-
     with open(vocabulary, encoding="utf-8") as file:
         known = json.load(file)["model"]["vocab"]
-    out = np.zeros(1 << 17, bool)
+    out = np.zeros(max(1 << 17, max(known.values(), default=0) + 1), bool)
     for token, number in known.items():
         out[number] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
     return out
