@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import staging_path
-from . import language, quality_model
+from . import language, merkle, quality_model
+from .bin_slack import pack_full
 from .common import table
 from .decontaminate import contamination_report, find_contamination
+from .lexical import rank_documents
 from .minhash import near_duplicates
 from .packing import digests as piece_digests, pack
 from .quality_rules import quality_rules
@@ -95,6 +97,29 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op11_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    packed = pack_full(table(spark, folder, "documents"), vocabulary(), end=1)
+    found = piece_digests(packed)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    offered = [F.when(tampered, F.col(c) + 1).otherwise(F.col(c)) if c == "n_chars" else F.col(c) for c in fields]
+    leaves = docs.select(
+        "doc_id", "lang", merkle.leaf(*[F.col(c) for c in fields]).alias("leaf"), merkle.leaf(*offered).alias("offered")
+    )
+    found = merkle.verify(merkle.manifest(leaves, carry=["offered"]), "offered")
+    digests = [F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return found.select("doc_id", *digests, "proof_sha256", F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,12 +133,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_language,
         op10_packing,
+        op11_best_fit,
+        op12_lexical,
+        op13_merkle,
     )
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+_LEAF = "sha256(" + " || ".join(
+    f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "{0}", "text")
+) + ")"
+
 ORACLES: dict[str, str] = {
     "op1_minhash": f"""
 WITH RECURSIVE words AS (
@@ -213,5 +245,70 @@ WITH docs AS (
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM docs LEFT JOIN left_over USING (doc_id)
+""",
+    "op12_lexical": rf"""
+WITH docs AS (
+  SELECT *, len(w) AS n, row_number() OVER () AS d FROM (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents)
+  WHERE len(w) > 0
+), sums AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM docs
+), postings AS (
+  SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM postings, sums GROUP BY term, docs
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS i, item_id,
+      unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), scores AS (
+  SELECT i, item_id, d, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), sums GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10
+""",
+    "op13_merkle": f"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i AS v FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8
+), codes AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8
+), told AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]))) % 7 = 0 AS tampered
+  FROM documents, codes
+), leaves AS (
+  SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, {_LEAF.format("n_chars + CAST(coalesce(tampered, false) AS BIGINT)")} AS offered FROM told
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+), nodes AS (
+  SELECT lang, 0 AS level, idx, leaf AS d, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n
+), subroots AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, idx, subroot AS d, n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2, n
+), walk AS (
+  SELECT doc_id, lang, leaf, idx AS place, 0 AS level, idx, n, offered AS folded, '' AS others FROM placed
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.place, w.level + 1, w.idx // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.idx % 2 = 1 THEN s.d || w.folded ELSE w.folded || coalesce(s.d, '') END), w.others || coalesce(s.d, '')
+  FROM walk w LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.idx = xor(w.idx, 1)
+  WHERE w.n > 1
+), climb AS (
+  SELECT w.doc_id, w.lang, w.leaf, w.place, r.subroot, 0 AS level, r.idx, r.n, w.folded, w.others
+  FROM walk w JOIN subroots r ON r.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.leaf, c.place, c.subroot, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+    sha256(CASE WHEN c.idx % 2 = 1 THEN s.d || c.folded ELSE c.folded || coalesce(s.d, '') END), c.others || coalesce(s.d, '')
+  FROM climb c LEFT JOIN tops s ON s.level = c.level AND s.idx = xor(c.idx, 1)
+  WHERE c.n > 1
+)
+SELECT doc_id, leaf, subroot, t.d AS root, sha256(others) AS proof_sha256, folded AS folded_root, folded = t.d AS verified
+FROM climb c, tops t WHERE c.n = 1 AND t.n = 1
 """,
 }

@@ -183,6 +183,22 @@ def sequence_hash(words: np.ndarray, salt: int = 0) -> int:
     return int(mix(np.array([total], U)).view(np.int64)[0])
 
 
+def short_keys(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First eight bytes, last eight bytes and length of words of up to 16 bytes, which tell them apart.
+
+    The last is 0 for words of up to eight bytes. ``data`` has eight bytes more than the words.
+    """
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    n = (end - begin).astype(np.uint8)
+    return eight[begin] & _masks()[n], np.where(n > 8, eight[np.maximum(end - 8, 0)], U(0)), n
+
+
+@cache
+def _masks() -> np.ndarray:
+    """Masks of the first n bytes of eight."""
+    return np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], U)
+
+
 def covered(hit: np.ndarray, size: int) -> np.ndarray:
     """Words inside any of the windows of ``size`` words that are flagged by their first word."""
     steps = np.zeros(len(hit) + size, np.int32)

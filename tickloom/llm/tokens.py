@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from .text import U, lowered
+from .text import U, lowered, short_keys
 
 #: Pieces that a worker remembers (about 30 bytes each) before it starts afresh.
 REMEMBERED = 1 << 20
@@ -65,12 +65,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-@cache
-def _masks() -> np.ndarray:
-    """Masks of the first n bytes of eight."""
-    return np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], U)
-
-
 class Table:
     """Ids of known pieces. Entry 0 stands for "not there"."""
 
@@ -258,10 +252,8 @@ class Encoder:
     def _entries(self, data, low, begin, end, whole) -> np.ndarray:
         length = end - begin
         short = ~whole & (length <= 16)
-        eight = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-        b, e, n = begin[short], end[short], length[short].astype(np.uint8)
-        head = eight[b] & _masks()[n]
-        tail = np.where(n > 8, eight[np.maximum(e - 8, 0)], U(0))
+        b, e = begin[short], end[short]
+        head, tail, n = short_keys(low, b, e)
         table = self.table
         entry = np.zeros(len(begin), np.int32)
         found = table.find(head, tail, n)
