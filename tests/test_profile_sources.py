@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -9,6 +10,22 @@ from tickloom.operators import profile, ranking, reshape
 from tickloom.sources import files
 
 
+@pytest.mark.parametrize("slices", [1, 7])
+def test_numbers_by_key_across_slices(spark, slices):
+    draw = random.Random(2)
+    data = [(draw.choice(["hot", "hot", None, f"k{draw.randrange(40)}"]), i) for i in range(3000)]
+    wanted, seen = {}, {}
+    for key, i in data:
+        seen[key] = wanted[i] = seen.get(key, 0) + 1
+    df = spark.createDataFrame(data, "k string, i long").repartition(3)
+    numbered = ranking.row_id(df, "n", ["i"], slices=slices, keys=["k"])
+    assert {r.i: r.n for r in numbered.collect()} == wanted
+    assert numbered.columns == ["k", "i", "n"]
+    every = ranking.every_kth_row(df, 5, ["i"], keys=["k"], slices=slices)
+    assert {r.i for r in every.collect()} == {i for i, n in wanted.items() if n % 5 == 1}
+    assert ranking.row_id(df.limit(0), "n", ["i"], keys=["k"]).count() == 0
+
+
 def test_row_id_is_gapless_with_a_hot_key(spark):
     hot = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("g"))
     rows = ranking.row_id(hot.repartition(5), "n", ["g", "id"]).orderBy("n").collect()

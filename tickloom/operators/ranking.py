@@ -44,20 +44,47 @@ def range_segments(
     )
 
 
-def row_id(df: DataFrame, name: str, order: Sequence[str | Column], slices: int | None = None) -> DataFrame:
-    """Consecutive numbers 1..n in the given order; end ``order`` in a unique column."""
-    sliced = range_segments(df, order, slices=slices)
-    sizes = sliced.groupBy("_segment").agg(F.max("_local").alias("_size"))
-    before = Window.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_segment", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    # One row per shuffle partition: the bound does not depend on the data.
+def row_id(
+    df: DataFrame,
+    name: str,
+    order: Sequence[str | Column],
+    slices: int | None = None,
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Consecutive numbers 1..n in the given order; end ``order`` in a unique column.
+
+    With ``keys`` every key has numbers of its own; NULL is a key like any other. The rows
+    are cut by key and order at once, so one key may span many slices and one slice hold
+    many keys: a key that owns a third of the rows is split like any other stretch. What
+    is joined back has one row per key and slice that meet, at most keys + slices rows.
+    """
+    sliced = range_segments(df, [*keys, *order], slices=slices)
+    before = Window.partitionBy(*keys).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    held = sliced.groupBy(*keys, "_segment").agg(F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    # The rows of a key in a slice adjoin: what lies ahead of them there is taken off again.
+    ahead = F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_first") + 1
+    offsets = held.select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_segment").alias("_of"), ahead.alias("_offset")
+    )
+    if not keys:
+        # One row per shuffle partition: the bound does not depend on the data.
+        offsets = F.broadcast(offsets)
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
     return (
-        sliced.join(F.broadcast(offsets), "_segment")
+        sliced.join(offsets, [F.col("_segment") == F.col("_of"), *same])
         .withColumn(name, F.col("_local") + F.col("_offset"))
-        .drop("_segment", "_local", "_offset")
+        .drop("_segment", "_of", "_local", "_offset", *[f"_key_{i}" for i in range(len(keys))])
     )
 
 
+def every_kth_row(
+    df: DataFrame, k: int, order: Sequence[str | Column], keys: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Rows 1, 1+k, 1+2k ... of each key in order, for tables without segments of bounded size."""
+    numbered = row_id(df, "_number", order, slices, keys)
+    return numbered.filter((F.col("_number") - 1) % k == 0).drop("_number")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, copies)`` of several numeric columns in one pass.
 

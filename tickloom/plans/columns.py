@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import calendar, clock, numeric
 from ..operators.profile import drop_null_columns, null_counts
-from ..operators.ranking import row_id
+from ..operators.ranking import every_kth_row, row_id
 from ..operators.reshape import relocate, rename_positional
 from ..operators.variance import drop_zero_rv, realized_variance
 from ..operators.grid import grid_left_join, session_grid
@@ -132,6 +132,27 @@ def number_rows(spark, folder):
     return row_id(inputs.events(spark, folder).select("event_id", "ts"), "trade_id", ["ts", "event_id"])
 
 
+@query(
+    "row_id_by_key",
+    """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS trade_id
+    FROM events""",
+)
+def number_rows_by_key(spark, folder):
+    rows = inputs.events(spark, folder).select("event_id", "user_id", "ts")
+    return row_id(rows, "trade_id", ["ts", "event_id"], keys=["user_id"]).drop("ts")
+
+
+@query(
+    "every_kth_row_by_key",
+    """SELECT event_id, event_type, ts FROM (
+        SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events)
+    WHERE (n - 1) % 7 = 0""",
+)
+def every_seventh_event(spark, folder):
+    rows = inputs.events(spark, folder).select("event_id", "event_type", "ts")
+    return every_kth_row(rows, 7, ["ts", "event_id"], keys=["event_type"])
+
+
 @query(
     "substr_time",
     """SELECT event_id, strftime(ts, '%H:%M:%S') AS time_text, strftime(ts, '%Y-%m-%d') AS date_text,
