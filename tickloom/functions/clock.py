@@ -45,6 +45,27 @@ def epoch_seconds(date: Column, seconds: Column) -> Column:
     return F.unix_date(date).cast("long") * 86400 + seconds
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a wall clock, with or without a time zone."""
+    seconds = F.unix_date(F.to_date(ts)).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+def wall_clock(instant: Column) -> Column:
+    """The UTC wall clock of an instant, to the second, as ``timestamp_ntz``."""
+    none = F.lit(0)
+    zero = F.lit("1970-01-01").cast("timestamp_ntz")
+    seconds = F.unix_seconds(instant)
+    days = F.floor(seconds / 86400).cast("int")
+    return zero + F.make_dt_interval(days, none, none, F.pmod(seconds, F.lit(86400)))
+
+
+def ordered_moment(ts: Column, tie: Column) -> Column:
+    """Time and then a 64-bit tie breaker in one decimal, which orders rows without a struct:
+    aggregates by it stay in a hash map."""
+    return epoch_micros(ts).cast("decimal(18,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + tie.cast("decimal(19,0)")
+
+
 def clock_text(seconds: Column) -> Column:
     """Seconds since midnight -> ``HH:mm:ss``."""
     return F.format_string(

@@ -112,6 +112,8 @@ def pad_session(
     opening: int = SESSION_OPEN,
     closing: int = SESSION_CLOSE,
     keys: Sequence[str] = (),
+    previous: DataFrame | None = None,
+    carry: DataFrame | None = None,
 ) -> DataFrame:
     """Grid, left join and fill-forward in one pass over the ticks.
 
@@ -122,12 +124,18 @@ def pad_session(
     minutes matches neither and only marks its date; two ticks in one grid minute
     fail, since either could be its price. The plan reads ``ticks`` twice (rows and
     carry): hand in a staged table.
+
+    ``previous`` has for each key the last known price ahead of these ticks. ``carry``
+    gives the prices before and after each date itself (``_before``, ``_after``), for
+    ticks that are only some dates of a series.
     """
     axis = minute_axis(keys)
     on_grid = (F.col("index_time") - opening) % MINUTE == 0
     inside = in_session(F.col("index_time"), opening, closing) & on_grid
     session = ticks.withColumn("_price", F.when(inside, F.col(price)))
-    carry = known_price_carry(session, "_price", axis)
+    if carry is None:
+        stored = None if previous is None else previous.withColumnRenamed(price, "_price")
+        carry = known_price_carry(session, "_price", axis, stored)
 
     # Ticks out of session come first; one of them marks the date, the rest go.
     day = Window.partitionBy(*axis.segment_keys)

@@ -19,7 +19,7 @@ from :func:`tickloom.operators.ranking.range_segments`.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -58,20 +58,46 @@ def minute_axis(keys: tuple[str, ...] | list[str] = ()) -> Axis:
     return Axis(keys=tuple(keys))
 
 
-def known_price_carry(df: DataFrame, value: str, axis: Axis = MINUTES) -> DataFrame:
+def stored_beside(carry: DataFrame, previous: DataFrame, columns: Mapping[str, str], keys: Sequence[str]) -> DataFrame:
+    """``carry`` with ``{new name: column of previous}``; ``previous`` has one row per key."""
+    if keys:
+        return carry.join(previous.select(*keys, *[F.col(c).alias(n) for n, c in columns.items()]), list(keys), "left")
+    row = previous.select(*columns.values()).first()  # a series without keys: one row
+    kinds = [previous.schema[c].dataType for c in columns.values()]
+    return carry.withColumns({n: F.lit(row[i] if row else None).cast(kinds[i]) for i, n in enumerate(columns)})
+
+
+def known_price_carry(
+    df: DataFrame, value: str, axis: Axis = MINUTES, previous: DataFrame | None = None
+) -> DataFrame:
     """Per segment: ``_before``, the last known value of earlier segments, and
-    ``_after``, the first known value of this segment or a later one."""
+    ``_after``, the first known value of this segment or a later one.
+
+    ``previous`` holds for each key the last known value ahead of all segments, where
+    ``df`` continues a series that is stored elsewhere.
+    """
     known_at = F.when(F.col(value).isNotNull(), axis.position())
     edges = df.groupBy(*axis.segment_keys).agg(
         F.min_by(value, known_at).alias("_first_known"),
         F.max_by(value, known_at).alias("_last_known"),
     )
+    return carried_edges(edges, axis, value, previous)
+
+
+def carried_edges(
+    edges: DataFrame, axis: Axis = MINUTES, value: str = "", previous: DataFrame | None = None
+) -> DataFrame:
+    """``_before`` and ``_after`` from one row per segment with ``_first_known`` and ``_last_known``."""
     across = axis.across()
-    return edges.select(
+    carry = edges.select(
         *axis.segment_keys,
         F.last("_last_known", ignorenulls=True).over(across.rowsBetween(START, -1)).alias("_before"),
         F.first("_first_known", ignorenulls=True).over(across.rowsBetween(HERE, END)).alias("_after"),
     )
+    if previous is None:
+        return carry
+    known = stored_beside(carry, previous, {"_stored": value}, axis.keys)
+    return known.withColumn("_before", F.coalesce("_before", "_stored")).drop("_stored")
 
 
 def fill_forward(df: DataFrame, value: str, axis: Axis = MINUTES) -> DataFrame:
@@ -87,10 +113,12 @@ def fill_forward(df: DataFrame, value: str, axis: Axis = MINUTES) -> DataFrame:
     )
 
 
-def lag_rows(df: DataFrame, columns: Mapping[str, str], axis: Axis = MINUTES) -> DataFrame:
+def lag_rows(
+    df: DataFrame, columns: Mapping[str, str], axis: Axis = MINUTES, previous: DataFrame | None = None
+) -> DataFrame:
     """Add ``{new name: source column}`` from the previous row of the whole series.
 
-    Only the first row of the series gets NULL.
+    Only the first row of the series gets NULL, or the value that ``previous`` has for its key.
     """
     sources = sorted(set(columns.values()))
     place = {source: f"_edge_{i}" for i, source in enumerate(sources)}
@@ -101,6 +129,11 @@ def lag_rows(df: DataFrame, columns: Mapping[str, str], axis: Axis = MINUTES) ->
     carry = edges.select(
         *axis.segment_keys, *[F.lag(name).over(across).alias(name) for name in place.values()]
     )
+    if previous is not None:
+        stored = {f"_stored_{i}": source for i, source in enumerate(sources)}
+        carry = stored_beside(carry, previous, stored, axis.keys)
+        filled = {place[source]: F.coalesce(place[source], name) for name, source in stored.items()}
+        carry = carry.withColumns(filled).drop(*stored)
     opening = "_opening"
     local = {
         opening: F.row_number().over(within) == 1,

@@ -47,16 +47,21 @@ def time_signature(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def log_returns(
-    df: DataFrame, price: str = "last_price", overnight: str = "null", axis: Axis = MINUTES
+    df: DataFrame,
+    price: str = "last_price",
+    overnight: str = "null",
+    axis: Axis = MINUTES,
+    previous: DataFrame | None = None,
 ) -> DataFrame:
     """``log_ret`` against the previous row.
 
     ``overnight`` says what the first row of a segment holds: ``"include"`` the
     move since the previous segment, ``"null"`` nothing, ``"zero"`` 0. Without the
-    overnight move no carry is needed, only a window inside the segments.
+    overnight move no carry is needed, only a window inside the segments. ``previous``
+    has for each key the last price ahead of these rows.
     """
     if overnight == "include":
-        lagged = lag_rows(df, {"_before": price}, axis)
+        lagged = lag_rows(df, {"_before": price}, axis, previous)
     elif overnight in ("null", "zero"):
         lagged = df.withColumn("_before", F.lag(price).over(axis.within()))
     else:

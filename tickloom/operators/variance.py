@@ -57,8 +57,14 @@ def sparse_rv_calendar(
     dates need only the first and the last sample of each ``(s, date)``; they are
     taken from that small table and added to the sums.
     """
-    if overnight not in ("include", "exclude"):
-        raise ValueError(f"unknown overnight rule {overnight!r}")
+    return sparse_rv_of_ends(sparse_ends(prices, grid, price, keys), overnight, keys)
+
+
+def sparse_ends(
+    prices: DataFrame, grid: Iterable[int] = SPARSE_GRID, price: str = "last_price", keys: Sequence[str] = ()
+) -> DataFrame:
+    """One row per ``(s, date)``: the sum of squares inside the date, its first and last
+    sample, and the price of its opening row."""
     periods = sorted(set(grid))
     date = [*keys, "index_date"]
     day = Window.partitionBy(*date).orderBy("index_time")
@@ -76,7 +82,7 @@ def sparse_rv_calendar(
     move = log_change(F.col("_sample"), F.lag("_sample").over(within_s))
     known = ~is_missing(F.col("_move"))
     at = F.when(~F.col("_opening"), F.col("index_time"))
-    ends = (
+    return (
         long.withColumn("_move", move)
         .groupBy(*date, "s_grid")
         .agg(
@@ -86,18 +92,38 @@ def sparse_rv_calendar(
             F.max(F.when(F.col("_opening"), F.col("_price"))).alias("_open"),
         )
     )
-    # From here on one row per (s, date). The opening row of a key's first date has
-    # no date before it and so counts as a sample.
+
+
+def _chained(ends: DataFrame, keys: Sequence[str], carried: DataFrame | None) -> DataFrame:
+    """``ends`` with ``_debut``, ``_chain``, the last sample of the date, and ``_carried``, that of the stored dates."""
+    # The opening row of a key's first date has no date before it and so counts as a sample.
     debut = F.col("index_date") == F.min("index_date").over(Window.partitionBy(*keys))
+    if carried is None:
+        known = ends.withColumn("_carried", F.lit(None).cast("double"))
+    else:
+        on = [*keys, "s_grid"]
+        known = ends.join(carried.select(*on, F.col("sample").alias("_carried")), on, "left")
+        if keys:
+            seen = carried.select(*keys, F.lit(True).alias("_seen")).distinct()
+            known = known.join(seen, list(keys), "left")
+            debut = debut & F.col("_seen").isNull()
+        elif not carried.isEmpty():
+            debut = F.lit(False)
+    chained = known.withColumn("_debut", debut).drop("_seen")
+    return chained.withColumn("_chain", F.coalesce("_last", F.when(F.col("_debut"), F.col("_open"))))
+
+
+def sparse_rv_of_ends(
+    ends: DataFrame, overnight: str = "include", keys: Sequence[str] = (), carried: DataFrame | None = None
+) -> DataFrame:
+    """Sparse variances from :func:`sparse_ends`; ``carried`` are the :func:`last_samples` of earlier dates."""
+    if overnight not in ("include", "exclude"):
+        raise ValueError(f"unknown overnight rule {overnight!r}")
     earlier = Window.partitionBy(*keys, "s_grid").orderBy("index_date").rowsBetween(START, -1)
     before = F.when(F.col("_debut"), F.col("_open"))
     if overnight == "include":
-        carried = F.last("_chain", ignorenulls=True).over(earlier)
-        before = before.otherwise(carried)
-    chained = ends.withColumn("_debut", debut).withColumn(
-        "_chain", F.coalesce("_last", F.when(F.col("_debut"), F.col("_open")))
-    )
-    entry = chained.withColumn("_entry", log_change(F.col("_first"), before))
+        before = before.otherwise(F.coalesce(F.last("_chain", ignorenulls=True).over(earlier), "_carried"))
+    entry = _chained(ends, keys, carried).withColumn("_entry", log_change(F.col("_first"), before))
     crossing = F.when(~is_missing(F.col("_entry")), F.col("_entry") * F.col("_entry"))
     total = F.when(
         F.col("_inside").isNotNull() | crossing.isNotNull(),
@@ -107,6 +133,17 @@ def sparse_rv_calendar(
     return rv.withColumn("rv_sparse_an", annualise(F.col("rv_sparse")))
 
 
+def last_samples(ends: DataFrame, keys: Sequence[str] = (), carried: DataFrame | None = None) -> DataFrame:
+    """``(keys, s_grid, sample)``: the last price sampled every ``s`` minutes up to the end of these dates."""
+    on = [*keys, "s_grid"]
+    at = F.when(F.col("_chain").isNotNull(), F.col("index_date"))
+    latest = _chained(ends, keys, carried).groupBy(*on).agg(F.max_by("_chain", at).alias("sample"))
+    if carried is None:
+        return latest
+    both = latest.join(carried.select(*on, F.col("sample").alias("_carried")), on, "full")
+    return both.select(*on, F.coalesce("sample", "_carried").alias("sample"))
+
+
 def signature_curve(sparse: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean sparse variance over all dates, per sampling period."""
     return sparse.groupBy(*keys, "s_grid").agg(F.avg("rv_sparse").alias("mean_rv_sparse"))

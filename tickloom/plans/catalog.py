@@ -1,6 +1,6 @@
 """All registered queries, by importing the modules that register them."""
 
-from . import columns, counts, scans, series, variance  # noqa: F401
+from . import columns, counts, growing, scans, series, variance  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
