@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, quality_model
+from tickloom.llm import language, quality_model, substrings
 from tickloom.llm.common import prepared, table
 from tickloom.llm.components import components
 from tickloom.llm.decontaminate import contamination_report, find_contamination, remove_spans
@@ -80,6 +80,65 @@ def test_near_duplicates(docs, corpus, size):
     assert all(r.kept == (r.component_id == d) for d, r in found.items())
 
 
+def repeated(draw):
+    """(id, text) rows: ids on several texts, on equal rows, and null."""
+    a, b, c, d = (sentence(draw, 40) for _ in range(4))
+    rows = [(3, b), (4, a), (5, a), (5, b), (7, d), (8, ""), (8, c), (9, c), (9, c), (None, a), (None, None), (6, ""), (6, None)]
+    return rows + [(20 + k % 3, edited(draw, c, k % 4)) for k in range(12)]
+
+
+def test_one_component_for_each_id(spark):
+    prepared(spark)
+    rows = repeated(random.Random(9))
+    merged, up = [(i, t) for i, t in rows if i is not None], {}
+    for i, _ in merged:
+        up[i] = i
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, (i, x) in enumerate(merged):
+        for j, y in merged[n + 1 :]:
+            p, q = plain.shingles(x, 5), plain.shingles(y, 5)
+            if p and q and 100 * len(p & q) >= 80 * len(p | q):
+                low_, high = sorted((root(i), root(j)))
+                up[high] = low_
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, component_id int").repartition(3)
+    found = near_duplicates(df, size=5).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in found) == sorted(
+        (i is None, i, None if i is None else root(i), i is None or root(i) == i) for i, _ in rows
+    )
+
+
+@pytest.mark.parametrize("bounds", [{}, {"BROADCAST_SPANS": 0, "BROADCAST_DOCUMENTS": 0, "MOST_BITS": 1 << 16}])
+def test_repeated_ids_lose_only_their_own_repeats(spark, bounds, monkeypatch):
+    prepared(spark)
+    for name, value in bounds.items():
+        monkeypatch.setattr(substrings, name, value)
+    draw = random.Random(10)
+    rows = repeated(draw) + [(1, sentence(draw, 40)), (2, sentence(draw, 60))]
+    rows += [(2, rows[-2][1]), (2, sentence(draw, 9) + " " + rows[-2][1][30:] + " " + rows[0][1])]
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        words = plain.SPACED.findall(t or "")
+        for k in range(len(words) - 12):
+            first.setdefault(tuple(words[k : k + 13]), i)
+    wanted = []
+    for i, t in rows:
+        words = plain.SPACED.findall(t or "")
+        gone = set()
+        for k in range(len(words) - 12):
+            if i is not None and first[tuple(words[k : k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        wanted.append((str(i), len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+    df = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, tag int, span_n string").repartition(3)
+    found = substring_dedup(df, joiner=" ", carry=("tag", "span_n")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in found) == sorted(wanted)
+    assert sum(r.n_removed > 0 for r in found) > 4
+
+
 def test_components(spark):
     draw = random.Random(1)
     links = [(i, i + 1) for i in draw.sample(range(0, 60), 60) if i % 7] + [(100, 130), (130, 115), (5, 5)]

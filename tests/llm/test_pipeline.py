@@ -43,6 +43,17 @@ def test_pipeline_agrees_with_a_plain_version(spark):
             assert r.ids_crc32 == plain.crc(wanted[d][r.start : r.start + r.length])
 
 
+def test_near_dedup_removes_rows_not_ids(spark):
+    words = lambda k: " ".join(f"{k}{n}" for n in range(30))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(3, b), (5, a), (5, b), (9, c), (9, c), (None, words("d")), (None, words("d") + " x"), (-2, a + " y"), (10, None), (10, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = corpus_pipeline.near_dedup(spark, docs, SMALL).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found))) == sorted(
+        map(str, [(3, b), (9, c), (-2, a + " y"), (10, None), (10, ""), next((r.doc_id, r.text) for r in found if r.doc_id is None)])
+    )
+
+
 def test_queries_agree_with_their_sql(spark, monkeypatch):
     duck = oracle(SMALL)
     for name, sql in ORACLES.items():

@@ -163,6 +163,14 @@ def near_duplicates(
     weights = members.groupBy("id").agg(F.sum("members").alias("weight"))
     members = stage(members.join(weights, "id").select("key", "id", "n_shingles", "weight"), "members")
     links = _links(docs, members, size, percent, id_column, text_column)
+    # Ids with several sets tie the classes of these together. Most tables have none.
+    sets = F.struct("d1", "d2", "n_shingles")
+    several = known.filter("id IS NOT NULL").groupBy("id").agg(F.min(sets).alias("low"), F.max(sets).alias("high"))
+    several = stage(several.filter("low <> high").select("id"), "several")
+    repeated = not several.isEmpty()
+    if repeated:
+        owned = known.join(several, "id", "left_semi").join(classes, ["d1", "d2", "n_shingles"])
+        links = stage(links.unionByName(owned.select(F.col("id").alias("a"), F.col("class").alias("b"))), "links")
     roots = components(links)
 
     per_class = classes.join(roots, classes["class"] == roots["node"], "left").select(
@@ -170,6 +178,11 @@ def near_duplicates(
     )
     labelled = known.drop("bands").join(per_class, ["d1", "d2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    if repeated:
+        # rows without a set share the component of their id as well
+        labelled = stage(labelled.withColumn("component_id", component), "labelled")
+        of_id = labelled.join(several, "id", "left_semi").groupBy("id").agg(F.min("component_id").alias("_of_id"))
+        labelled = labelled.join(of_id, "id", "left").withColumn("component_id", F.coalesce("_of_id", "component_id"))
     return labelled.select(
         F.col("id").alias(id_column),
         "n_shingles",

@@ -21,7 +21,6 @@ agrees.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -132,13 +131,13 @@ def _filter_of(repeated: DataFrame) -> np.ndarray:
 
 
 def _paths(docs: DataFrame, bits: np.ndarray, size: int, anchor: int) -> DataFrame:
-    """(anchor, key, check, id, pos, n): paths of n edges over anchors that seem repeated."""
+    """(anchor, key, check, id, tag, pos, n): paths of n edges over anchors that seem repeated."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
-    kinds = (pa.int64(),) * 4 + (pa.int32(),) * 2
+    kinds = (pa.int64(),) * 5 + (pa.int32(),) * 2
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for s in stretches(batch.column(1), spaced()):
                 words = word_hashes(s)
                 first, row, found = anchors(s, words, size, anchor)
@@ -152,13 +151,13 @@ def _paths(docs: DataFrame, bits: np.ndarray, size: int, anchor: int) -> DataFra
                 start, n = start[chosen], n[chosen]
                 a, row = first[start], row[start]
                 keys = [runs(window_hashes(words, size, salt), a, n).view(np.int64) for salt in (1, 2)]
-                columns = (found[0][start].view(np.int64), *keys, ids[s.first + row], a - s.bounds[row], n)
+                columns = (found[0][start].view(np.int64), *keys, ids[s.first + row], tags[s.first + row], a - s.bounds[row], n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds)],
-                    names=["anchor", "key", "check", "id", "pos", "n"],
+                    names=["anchor", "key", "check", "id", "tag", "pos", "n"],
                 )
 
-    return docs.mapInArrow(find, "anchor long, key long, check long, id long, pos int, n int")
+    return docs.mapInArrow(find, "anchor long, key long, check long, id long, tag long, pos int, n int")
 
 
 def runs(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -170,13 +169,13 @@ def runs(hashes: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, coordinates: DataFrame, size: int) -> DataFrame:
-    """(key, check, id, pos): the edges of the paths at the coordinates."""
+    """(key, check, id, tag, pos): the edges of the paths at the coordinates."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             spans = Spans(batch)
-            for s in stretches(batch.column(1), spaced()):
+            for s in stretches(batch.column(2), spaced()):
                 words = word_hashes(s)
                 at, row = [], []
                 for i in range(s.rows):
@@ -188,15 +187,16 @@ def _edges(docs: DataFrame, coordinates: DataFrame, size: int) -> DataFrame:
                     continue
                 at, row = np.concatenate(at), np.concatenate(row)
                 keys = [window_hashes(words, size, salt)[at].view(np.int64) for salt in (1, 2)]
-                columns = (*keys, ids[s.first + row], at - s.bounds[row])
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                columns = (*keys, ids[s.first + row], tags[s.first + row], at - s.bounds[row])
+                kinds = (pa.int64(),) * 4 + (pa.int32(),)
                 for k in range(0, len(at), _ROWS):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c[k : k + _ROWS], t) for c, t in zip(columns, kinds)],
-                        names=["key", "check", "id", "pos"],
+                        names=["key", "check", "id", "tag", "pos"],
                     )
 
-    return _with_spans(docs, coordinates, "inner").mapInArrow(find, "key long, check long, id long, pos int")
+    found = _with_spans(docs, coordinates, "inner").select("id", "tag", "text", "span_pos", "span_n")
+    return found.mapInArrow(find, "key long, check long, id long, tag long, pos int")
 
 
 class Spans:
@@ -214,21 +214,24 @@ def _with_spans(docs: DataFrame, coordinates: DataFrame, how: str) -> DataFrame:
     rows, spans = coordinates.agg(F.count("*"), F.sum(F.size("span_pos"))).first()
     if rows <= BROADCAST_DOCUMENTS and (spans or 0) <= BROADCAST_SPANS:
         coordinates = F.broadcast(coordinates)
-    return docs.join(coordinates, "id", how)
+    return docs.join(coordinates, ["id", "tag"], how)
 
 
 def _per_document(rows: DataFrame) -> DataFrame:
-    """(id, span_pos, span_n): adjoining windows become one span; a document's length bounds their number."""
-    ordered = Window.partitionBy("id").orderBy("pos", "n")
+    """(id, tag, span_pos, span_n): adjoining windows become one span; a document's length bounds their number.
+
+    Rows of one id with equal texts have the same spans: they may be counted twice here.
+    """
+    ordered = Window.partitionBy("id", "tag").orderBy("pos", "n")
     before = F.max(F.col("pos") + F.col("n")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.select("id", "pos", "n", F.coalesce(F.col("pos") > before, F.lit(True)).cast("int").alias("opens"))
+    opened = rows.select("id", "tag", "pos", "n", F.coalesce(F.col("pos") > before, F.lit(True)).cast("int").alias("opens"))
     merged = (
         opened.withColumn("run", F.sum("opens").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("id", "run")
+        .groupBy("id", "tag", "run")
         .agg(F.min("pos").alias("pos"), (F.max(F.col("pos") + F.col("n")) - F.min("pos")).alias("n"))
     )
-    spans = merged.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spans"))
-    return stage(spans.select("id", F.col("spans.pos").alias("span_pos"), F.col("spans.n").alias("span_n")), "spans")
+    spans = merged.groupBy("id", "tag").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("spans"))
+    return stage(spans.select("id", "tag", F.col("spans.pos").alias("span_pos"), F.col("spans.n").alias("span_n")), "spans")
 
 
 def _sources(rows: DataFrame, *keys: str) -> DataFrame:
@@ -239,9 +242,10 @@ def _sources(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, span_pos, span_n): the windows, as first word and count, that start in an earlier document too.
+    """(id, tag, span_pos, span_n): the windows, as first word and count, that start in an earlier document too.
 
-    ``docs`` has columns id (long) and text. "Earlier" means a smaller id.
+    ``docs`` has columns id (long), text and tag, a digest that tells rows of one id with
+    different texts apart. "Earlier" means a smaller id.
     """
     docs = docs.filter("id IS NOT NULL AND text IS NOT NULL")
     repeated = stage(_repeated_anchors(docs, size, anchor), "anchors")
@@ -253,14 +257,14 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, anchor: int = ANCHOR) ->
         "whole",
         F.coalesce((F.col("source") < F.col("id")) & (F.col("source_check") == F.col("check")), F.lit(False)),
     )
-    met = stage(met.select("anchor", "id", "pos", "n", "whole", (F.col("source_check") != F.col("check")).alias("differs")), "met")
-    whole = met.filter("whole").select("id", "pos", "n")
+    met = stage(met.select("anchor", "id", "tag", "pos", "n", "whole", (F.col("source_check") != F.col("check")).alias("differs")), "met")
+    whole = met.filter("whole").select("id", "tag", "pos", "n")
     apart = met.filter("NOT whole").join(branching, "anchor", "left").filter("branches OR differs")
 
-    edges = partial(_edges, docs, _per_document(apart.select("id", "pos", "n")), size)
-    single = _sources(edges(), "key").filter("source < last")
+    edges = stage(_edges(docs, _per_document(apart.select("id", "tag", "pos", "n")), size), "edges")
+    single = _sources(edges, "key").filter("source < last")
     verified = (F.col("source") < F.col("id")) & (F.col("source_check") == F.col("check"))
-    parts = edges().join(single, "key").filter(verified).select("id", "pos", F.lit(1).alias("n"))
+    parts = edges.join(single, "key").filter(verified).select("id", "tag", "pos", F.lit(1).alias("n"))
     return _per_document(whole.unionByName(parts))
 
 
@@ -283,12 +287,14 @@ def substring_dedup(
     A null or empty text has no words and is left as it is (null becomes empty with a
     joiner); texts shorter than ``size`` lose nothing. Rows with a null id neither lose
     words nor take them from others. Rows that repeat an id count as one document, so
-    they do not take words from each other. Columns not named are not read.
+    they do not take words from each other; each loses what its own text repeats. Columns not named are not read.
     """
-    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"))
+    tag = F.xxhash64(docs[text_column]).alias("tag")
+    rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"), tag)
     spans = repeated_spans(rows, size, anchor)
     named = docs.select(
         docs[id_column].cast("long").alias("id"),
+        tag,
         docs[text_column].alias("__text"),
         *[docs[c].alias(f"__{k}") for k, c in enumerate(carry)],
     )
@@ -296,7 +302,7 @@ def substring_dedup(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             spans = Spans(batch)
             kept, n_words, n_removed = [], [], []
             for s in stretches(texts, spaced()):
@@ -326,7 +332,7 @@ def substring_dedup(
                         pieces = [text[begin[k] : begin[k + 1]] for k in stay.tolist()]
                         kept.append((text[: begin[0]] + b"".join(pieces)).decode())
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            columns = [batch.column(0), *[batch.column(2 + k) for k in range(len(carry))]]
+            columns = [batch.column(0), *[batch.column(3 + k) for k in range(len(carry))]]
             yield pa.RecordBatch.from_arrays(columns + made, names=schema.names)
 
     schema = with_fields(fields, "n_words long, n_removed long, kept string")
