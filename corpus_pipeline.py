@@ -26,13 +26,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, similarity 0.8."""
+    """The first document of each group of near copies: five-word shingles, similarity 0.8.
+
+    Rows are documents. Where ids repeat or are null, rows are told apart by id and digest
+    of the text, so a text goes only if it has copies itself; of equal rows one stays.
+    """
     prepared(spark)
-    groups = near_duplicates(docs, size=5, percent=80)
-    gone = stage(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if ids.isEmpty():
+        return _without(docs, near_duplicates(docs, size=5, percent=80), "doc_id")
+    rows = docs.withColumn("row", _row_name())
+    copies = stage(rows.groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("row"), "copies")
+    once = rows.join(copies, "row", "left_semi").dropDuplicates(["row"])
+    rows = stage(rows.join(copies, "row", "left_anti").unionByName(once), "rows")
+    return _without(rows, near_duplicates(rows, size=5, percent=80, id_column="row"), "row")
+
+
+def _row_name():
+    """Id and digest of the text as a string that sorts as the id does, null first."""
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat_ws("-", F.coalesce(number, F.lit("")), F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+
+
+def _without(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """The rows that their group keeps."""
+    gone = stage(groups.filter("NOT kept").select(key).distinct(), "gone")
     if gone.count() <= ID_LIMIT:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
