@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from tickloom.llm.quality_model import _shape, features
+from tickloom.llm.quality_model import _shape, features, places
 from tickloom.llm.text import U, mix
 
 
@@ -12,4 +12,4 @@ def test_length_and_repetition_are_those_of_the_whole_text():
     for text, found in zip(texts, features(pa.array(texts))):
         words = text.split()
         shape = _shape(np.frombuffer(text.encode(), np.uint8), len(words), len(set(words)))
-        assert np.isin(mix(np.array(shape, U)), found).all()
+        assert np.isin(places(mix(np.array(shape, U))), found).all()

@@ -16,9 +16,7 @@ from .text import U, _power_tables, _words, mix
 LONGEST = 5
 #: Labelled documents per language that are fitted on, about: those with the smallest hashes.
 SAMPLE = 3_000
-#: Words, and n-grams of each length, that the model holds at most; rarer ones are dropped.
-ENTRIES = 150_000
-_SLOTS = 18
+_FILTER_BITS = 20
 UNKNOWN = "und"
 
 
@@ -100,52 +98,63 @@ def _counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "kind", "hash").agg(F.sum("n").alias("n"))
 
 
+class Entries:
+    """Log frequencies, one column a language, by full 64-bit hash."""
+
+    def __init__(self, hashes: np.ndarray, scores: np.ndarray):
+        self.hashes, self.scores = hashes, scores
+        self.bits = np.zeros(1 << _FILTER_BITS, bool)
+        self.bits[self._bit(hashes)] = True
+
+    @staticmethod
+    def _bit(hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> U(64 - _FILTER_BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``hashes`` of those that are held, and their entries."""
+        maybe = np.flatnonzero(self.bits[self._bit(hashes)])
+        if not len(maybe):
+            return maybe, maybe
+        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+        same = self.hashes[at] == hashes[maybe]
+        return maybe[same], at[same]
+
+
 class Model(NamedTuple):
     langs: list[str]
-    words: np.ndarray  # sorted hashes
-    word_scores: np.ndarray  # log frequency by word and language
-    known: np.ndarray  # by length and slot
-    gram_scores: np.ndarray  # by length, slot and language
+    entries: list[Entries]  # words, then n-grams by length from 1
 
 
-def fit(docs: DataFrame, lang: str, text: str, id_column: str, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
-    """Log frequencies of words and n-grams by language, counted by Spark on a bounded sample."""
+def fit(docs: DataFrame, lang: str, text: str, id_column: str, sample: int = SAMPLE) -> Model:
+    """Log frequencies of words and n-grams by language, counted by Spark on a bounded sample.
+
+    Every word and n-gram of the sampled documents is in the model, about ``sample``
+    documents a language. Half an occurrence is added to each in every language.
+    """
     labelled = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], np.zeros(0, U), np.zeros((0, 0)), np.zeros((LONGEST + 1, 0), bool), np.zeros((LONGEST + 1, 0, 0)))
+        return Model([], [Entries(np.zeros(0, U), np.zeros((0, 0), np.float32))] * (LONGEST + 1))
     share = F.lit(None)
     for name, n in sizes.items():
         share = F.when(F.col(lang) == name, F.lit(min(1.0, sample / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1_000_003)) / 1_000_003.0
     counts = stage(_counts(labelled.filter(draw < share).select(lang, text)), "counts")
-    scores = []
-    totals = {(r[0], r[1]): r[2] for r in counts.groupBy("lang", "kind").agg(F.sum("n")).collect()}
-    for kind in range(LONGEST + 1):
-        own = counts.filter(F.col("kind") == kind).select("hash", "lang", "n")
-        seen = own.groupBy("hash").agg(F.sum("n").alias("total"))
-        spread = sorted((r[0], r[1]) for r in seen.groupBy(F.least("total", F.lit(5000))).count().collect())
-        least, held = 2, sum(n for c, n in spread if c >= 2)
-        for c, n in spread:  # the smallest count that leaves few enough
-            if held <= entries:
-                break
-            if c >= 2:
-                held, least = held - n, c + 1
-        chosen = own.join(seen.filter(F.col("total") >= least), "hash").toArrow()
-        keys, at = np.unique(chosen["hash"].to_numpy().view(U), return_inverse=True)
+    return model_of(langs, [counts.filter(F.col("kind") == k).select("lang", "hash", "n").toArrow() for k in range(LONGEST + 1)])
+
+
+def model_of(langs: list[str], counts: list[pa.Table]) -> Model:
+    """The model of counts (lang, hash, n) of words and of n-grams by length."""
+    entries = []
+    for own in counts:
+        keys, at = np.unique(own["hash"].to_numpy().view(U), return_inverse=True)
         table = np.zeros((len(keys), len(langs)))
-        column = np.array([langs.index(x) for x in chosen["lang"].to_pylist()], int)
-        np.add.at(table, (at, column), chosen["n"].to_numpy())
-        total = np.array([totals.get((x, kind), 0) for x in langs], float)
-        scores.append((keys, np.log((table + 0.5) / (total + 0.5 * max(1, len(keys)))).astype(np.float32)))
-    known = np.zeros((LONGEST + 1, 1 << _SLOTS), bool)
-    gram_scores = np.zeros((LONGEST + 1, 1 << _SLOTS, len(langs)), np.float32)
-    for kind in range(1, LONGEST + 1):
-        slot = (scores[kind][0] >> U(64 - _SLOTS)).astype(np.int64)
-        known[kind, slot] = True
-        gram_scores[kind, slot] = scores[kind][1]
-    return Model(langs, scores[0][0], scores[0][1], known, gram_scores)
+        column = np.array([langs.index(x) for x in own["lang"].to_pylist()], int)
+        np.add.at(table, (at, column), own["n"].to_numpy())
+        smoothed = (table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(keys)))
+        entries.append(Entries(keys, np.log(smoothed).astype(np.float32)))
+    return Model(langs, entries)
 
 
 def score(t: Text, model: Model) -> np.ndarray:
@@ -153,23 +162,20 @@ def score(t: Text, model: Model) -> np.ndarray:
     n_words, n_langs = len(t.begin), len(model.langs)
     by_word = np.zeros((n_words, n_langs), np.float32)
     found = np.zeros(n_words, bool)
-    if n_words and len(model.words):
-        h = t.hashes(t.begin, t.end, 0)
-        at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
-        found = model.words[at] == h
-        by_word[found] = model.word_scores[at[found]]
+    place, entry = model.entries[0].find(t.hashes(t.begin, t.end, 0))
+    found[place] = True
+    by_word[place] = model.entries[0].scores[entry]
     other = np.flatnonzero(~found)
     if len(other):
         left = None
         for n in range(LONGEST, 0, -1):
             hashes, word = _grams(t, t.begin[other], t.end[other], n)
-            slot = (hashes >> U(64 - _SLOTS)).astype(np.int64)
-            hit = model.known[n, slot] & (hashes != 0)
             if left is None:
                 left, values = np.ones(len(word), bool), np.zeros((len(word), n_langs), np.float32)
-            hit &= left
-            values[hit] = model.gram_scores[n, slot[hit]]
-            left &= ~hit
+            open_ = np.flatnonzero(left & (hashes != 0))
+            place, entry = model.entries[n].find(hashes[open_])
+            values[open_[place]] = model.entries[n].scores[entry]
+            left[open_[place]] = False
         sizes = np.bincount(word, minlength=len(other))
         starts = np.cumsum(sizes) - sizes
         # successive n-grams overlap, so their scores are averaged to weigh like a word
@@ -191,7 +197,8 @@ def identify(
     Words are runs of letters, lower-cased. A word of the model has its log frequency in
     each language; for another word each position takes the longest n-gram ending there
     that the model holds, from five letters down to one, averaged over the word. ``score``
-    is the share of the best language when the summed scores are made to add up to one.
+    is the share of the best language when the summed scores are made to add up to one; of
+    equally good languages the first by name is taken.
 
     A null text, or one without letters, is ``und`` with score 0, as is every text if the
     model has no language. Null ids are passed on and repeated rows judged each by itself;

@@ -22,13 +22,11 @@ from .text import U, alphanumeric, mix, raw, stretches, word_hashes
 
 #: Rated documents of each grade that are fitted on, about: those with the smallest hashes.
 SAMPLE = 4_000
-#: Hashed features that get a weight: those in at least LEAST sampled documents, the
-#: most frequent FEATURES of them.
-LEAST, FEATURES = 12, 60_000
+#: Features share this many weights by their hashes; all features count, in fitting and scoring.
+WEIGHT_BITS = 20
 STEPS, RATE, SHRINK = 250, 0.08, 1e-3
 #: Tail probability from which a document is selected if no sample says otherwise.
 SELECT = 0.5
-_FILTER_BITS = 20
 
 
 def _signs() -> np.ndarray:
@@ -50,11 +48,8 @@ def _shape(data: np.ndarray, n_words: int, n_distinct: int) -> list[int]:
     return [1000 * a + b for a, b in bands]
 
 
-def features(column: pa.Array, wanted: "Vocabulary | None" = None) -> Iterator[np.ndarray]:
-    """Distinct feature hashes of each row: its words, lower-cased, and its shape.
-
-    With ``wanted``, places in that vocabulary instead, of the features it holds.
-    """
+def features(column: pa.Array) -> Iterator[np.ndarray]:
+    """Places of the weights of each row's features: its distinct words, lower-cased, and its shape."""
     data, edges = raw(column)
     for s in stretches(column, alphanumeric(), lower=True):
         words = word_hashes(s)
@@ -63,32 +58,20 @@ def features(column: pa.Array, wanted: "Vocabulary | None" = None) -> Iterator[n
             distinct = np.unique(own)
             at = s.first + i
             shape = mix(np.array(_shape(data[edges[at] : edges[at + 1]], len(own), len(distinct)), U))
-            every = np.concatenate([distinct, shape])
-            yield np.unique(every) if wanted is None else wanted.places(every)
-
+            yield np.unique(places(np.concatenate([distinct, shape])))
 
-class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-        self.bits = np.zeros(1 << _FILTER_BITS, bool)
-        self.bits[(self.hashes >> U(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def places(self, found: np.ndarray) -> np.ndarray:
-        found = found[self.bits[(found >> U(64 - _FILTER_BITS)).astype(np.int64)]]
-        if not len(self.hashes):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return np.unique(at[self.hashes[at] == found])
+def places(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> U(64 - WEIGHT_BITS)).astype(np.int32)
 
 
 class Model(NamedTuple):
-    hashes: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
     select: float
 
 
-def selection(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int, reach: int) -> float:
+def selection(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, reach: int) -> float:
     """The tail probability that tells grades apart best on documents a fit has not seen.
 
     Each half of the sample is judged by the fit on the other. All grades weigh alike; of
@@ -97,9 +80,9 @@ def selection(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_gra
     tail = np.zeros(len(rows))
     for half in (0, 1):
         inside = np.arange(len(rows)) % 2 == half
-        w, t = fit_ordinal([r for r, i in zip(rows, inside) if i], grades[inside], n_features, n_grades)
+        w, t = fit_ordinal([r for r, i in zip(rows, inside) if i], grades[inside], n_grades)
         for k in np.flatnonzero(~inside):
-            tail[k] = sigmoid(w[rows[k]].sum() - t[reach - 1])
+            tail[k] = sigmoid(w[rows[k]].sum(dtype=float) - t[reach - 1])
     places = np.linspace(0.01, 0.99, 197)
     right = np.zeros(len(places))
     for g in np.unique(grades):
@@ -112,40 +95,52 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of the cumulative-link model, by gradient steps on all rows.
+def loss(
+    w: np.ndarray, raised: np.ndarray, flat: np.ndarray, owner: np.ndarray, grades: np.ndarray
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of the grades' mean negative log-likelihoods plus shrinkage, and its slopes in w and ``raised``.
 
-    Grades weigh alike, however many rows have them. Thresholds stay ordered, as only
-    the first is free and the others are sums of positive steps.
+    ``raised`` holds the first threshold and the logarithms of the steps to the others, so
+    thresholds stay in order. Entry k says that row ``owner[k]`` has feature ``flat[k]``.
     """
-    flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n, n_grades = len(grades), len(raised) + 1
     share = np.bincount(grades, minlength=n_grades).astype(float)
     weight = (1 / np.maximum(share, 1))[grades] / max(1, (share > 0).sum())
-    w = np.zeros(n_features)
-    raised = np.concatenate([[0.0], np.zeros(n_grades - 2)])  # first threshold, logarithms of the steps
-    first = [np.zeros(n_features), np.zeros(n_grades - 1)]
-    second = [np.zeros(n_features), np.zeros(n_grades - 1)]
+    t = np.cumsum(np.concatenate([raised[:1], np.exp(raised[1:])]))
+    x = np.bincount(owner, w[flat], minlength=n)
+    tail = np.concatenate([np.ones((n, 1)), sigmoid(x[:, None] - t), np.zeros((n, 1))], axis=1)
+    index = np.arange(n)
+    p = np.maximum(tail[index, grades] - tail[index, grades + 1], 1e-12)
+    slope = tail * (1 - tail)
+    gx = -weight * (slope[index, grades] - slope[index, grades + 1]) / p
+    gt = np.zeros(n_grades + 1)
+    np.add.at(gt, grades, weight * slope[index, grades] / p)
+    np.add.at(gt, grades + 1, -weight * slope[index, grades + 1] / p)
+    g_raised = np.cumsum(gt[1:n_grades][::-1])[::-1] * np.concatenate([[1.0], np.exp(raised[1:])])
+    g_w = np.bincount(flat, gx[owner], minlength=len(w)) + SHRINK * w
+    return float(-(weight * np.log(p)).sum() + SHRINK / 2 * (w * w).sum()), g_w, g_raised
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights by place and thresholds of the cumulative-link model, by gradient steps on all rows.
+
+    Grades weigh alike, however many rows have them. Places that no row has stay 0.
+    """
+    every = np.concatenate([*rows, np.zeros(0, np.int32)])
+    used, flat = np.unique(every, return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, raised = np.zeros(len(used)), np.zeros(n_grades - 1)
+    first = [np.zeros(len(used)), np.zeros(n_grades - 1)]
+    second = [np.zeros(len(used)), np.zeros(n_grades - 1)]
     for step in range(1, STEPS + 1):
-        t = np.cumsum(np.concatenate([raised[:1], np.exp(raised[1:])]))
-        x = np.bincount(owner, w[flat], minlength=len(rows))
-        tail = np.concatenate([np.ones((len(rows), 1)), sigmoid(x[:, None] - t), np.zeros((len(rows), 1))], axis=1)
-        index = np.arange(len(rows))
-        upper, lower = tail[index, grades], tail[index, grades + 1]
-        p = np.maximum(upper - lower, 1e-12)
-        slope = tail * (1 - tail)
-        gx = -weight * (slope[index, grades] - slope[index, grades + 1]) / p
-        gt = np.zeros(n_grades + 1)
-        np.add.at(gt, grades, weight * slope[index, grades] / p)
-        np.add.at(gt, grades + 1, -weight * slope[index, grades + 1] / p)
-        per_threshold = gt[1:n_grades]
-        g_raised = np.cumsum(per_threshold[::-1])[::-1] * np.concatenate([[1.0], np.exp(raised[1:])])
-        g_w = np.bincount(flat, gx[owner], minlength=n_features) + SHRINK * w
-        for k, (value, g) in enumerate(((w, g_w), (raised, g_raised))):
+        _, g_w, g_raised = loss(w, raised, flat, owner, grades)
+        for k, (held, g) in enumerate(((w, g_w), (raised, g_raised))):
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            value -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
-    return w, np.cumsum(np.concatenate([raised[:1], np.exp(raised[1:])]))
+            held -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-9)
+    weights = np.zeros(1 << WEIGHT_BITS, np.float32)
+    weights[used] = w
+    return weights, np.cumsum(np.concatenate([raised[:1], np.exp(raised[1:])]))
 
 
 def fit(
@@ -174,34 +169,20 @@ def fit(
     draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
     chosen = ratings.filter(draw < share)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x.view(np.int64) for x in features(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["grade", "features"])
-
-    rows = docs.select(docs[id_column], docs[text_column].alias("text")).join(F.broadcast(chosen), id_column)
-    seen = stage(rows.select("grade", "text").mapInArrow(hashed, "grade int, features array<bigint>"), "features")
-    frequent = (
-        seen.select(F.explode("features").alias("feature")).groupBy("feature").count().filter(F.col("count") >= LEAST)
-    )
-    top = frequent.orderBy(F.desc("count"), "feature").limit(FEATURES).toArrow()
-    vocabulary = Vocabulary(top["feature"].to_numpy().view(U))
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [held.value.places(np.asarray(x.values).view(U)).astype(np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], names=["grade", "places"])
+            found = pa.array(list(features(batch.column(1))), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["grade", "places"])
 
-    training = seen.mapInArrow(placed, "grade int, places array<int>").toArrow()
+    rows = docs.select(docs[id_column], docs[text_column].alias("text")).join(F.broadcast(chosen), id_column)
+    training = rows.select("grade", "text").mapInArrow(placed, "grade int, places array<int>").toArrow()
     grades = training["grade"].to_numpy()
     lists = [np.asarray(x.values) for x in training["places"]]
     order = sorted(range(len(lists)), key=lambda i: (grades[i], lists[i].tobytes()))  # sums run in one order
     lists, grades = [lists[i] for i in order], grades[order].astype(np.int64)
     several = len(np.unique(grades)) > 1
-    select = selection(lists, grades, len(vocabulary.hashes), n_grades, reach) if several else SELECT
-    w, t = fit_ordinal(lists, grades, len(vocabulary.hashes), n_grades)
-    return Model(vocabulary.hashes, w, t, select)
+    select = selection(lists, grades, n_grades, reach) if several else SELECT
+    return Model(*fit_ordinal(lists, grades, n_grades), select)
 
 
 def grade(
@@ -222,13 +203,13 @@ def grade(
     named and ``carry`` ones are not read.
     """
     least = model.select if least is None else least
-    held = docs.sparkSession.sparkContext.broadcast((Vocabulary(model.hashes), model.weights, model.thresholds))
+    held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     fields = docs.select(id_column, *carry).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights, thresholds = held.value
+        weights, thresholds = held.value
         for batch in batches:
-            x = np.array([weights[at].sum() for at in features(batch.column(len(fields)), vocabulary)], float)
+            x = np.array([weights[at].sum(dtype=float) for at in features(batch.column(len(fields)))], float)
             tails = sigmoid(x[:, None] - thresholds)
             tail = tails[:, reach - 1]
             made = [pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= least)]
