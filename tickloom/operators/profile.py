@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import equal_width_bin
 from ..session import stage
+from .quantiles import grouped_quantiles
 from .ranking import quantiles_of_ranked, ranked_values, with_names
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -49,11 +52,11 @@ def drop_null_columns(df: DataFrame, rule: str = "any") -> DataFrame:
     return df.drop(*[c for i, c in enumerate(df.columns) if counts[f"_{i}"] >= bound])
 
 
-def rows_lost(df: DataFrame, keep: Column, date: str = "index_date") -> DataFrame:
+def rows_lost(df: DataFrame, keep: Column, date: str = "index_date", keys: Sequence[str] = ()) -> DataFrame:
     """Rows and dates that a filter removes, from one aggregate."""
     kept = F.coalesce(keep, F.lit(False))
-    by_date = df.groupBy(date).agg(F.count(F.lit(1)).alias("_all"), F.count_if(kept).alias("_kept"))
-    return by_date.agg(
+    by_date = df.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_all"), F.count_if(kept).alias("_kept"))
+    return by_date.groupBy(*keys).agg(
         F.sum("_all").alias("rows_before"),
         F.sum("_kept").alias("rows_after"),
         F.sum(F.col("_all") - F.col("_kept")).alias("rows_lost"),
@@ -61,11 +64,11 @@ def rows_lost(df: DataFrame, keep: Column, date: str = "index_date") -> DataFram
     )
 
 
-def edges(df: DataFrame, position: Sequence[str]) -> DataFrame:
-    """First and last row as two rows, found without sorting."""
+def edges(df: DataFrame, position: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """First and last row, of each key, as two rows, found without sorting."""
     row, at = F.struct(*df.columns), F.struct(*position)
-    ends = df.agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))
-    return ends.unpivot([], ["first", "last"], "edge", "_row").select("edge", "_row.*")
+    ends = df.groupBy(*keys).agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))
+    return ends.unpivot(list(keys), ["first", "last"], "edge", "_row").select("edge", "_row.*")
 
 
 def value_moments(ranked: DataFrame, bins: int = 1) -> DataFrame:
@@ -94,11 +97,14 @@ def value_moments(ranked: DataFrame, bins: int = 1) -> DataFrame:
     )
 
 
-def summary_long(df: DataFrame, value: str) -> DataFrame:
-    """``(measure, value)``: min, exact median, mean, max and sample deviation.
+def summary_long(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``(keys, measure, value)``: min, exact median, mean, max and sample deviation.
 
-    ``df`` is read once; all five come from its value counts.
+    Of one table ``df`` is read once; all five come from its value counts. By key the
+    medians come from :func:`grouped_quantiles`, which reads a staged table again.
     """
+    if keys:
+        return _summary_by_key(df, value, list(keys))
     ranked = ranked_values(df, [value])
     wide = (
         value_moments(ranked)
@@ -114,6 +120,22 @@ def summary_long(df: DataFrame, value: str) -> DataFrame:
     return wide.unpivot([], wide.columns, "measure", "value")
 
 
+def _summary_by_key(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    rows = stage(df.select(*keys, F.col(value).cast("double").alias("_value")), "values")
+    known = rows.filter("_value IS NOT NULL AND NOT isnan(_value)")
+    moments = known.groupBy(*keys).agg(
+        F.min("_value").alias("Min"),
+        F.avg("_value").alias("Mean"),
+        F.max("_value").alias("Max"),
+        F.stddev_samp("_value").alias("Standard Dev"),
+    )
+    medians = grouped_quantiles(rows, ["_value"], [0.5], keys)
+    medians = medians.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("quantile").alias("Median"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    wide = moments.join(medians, same).drop(*[f"_key_{i}" for i in range(len(keys))])
+    return wide.unpivot(keys, ["Min", "Median", "Mean", "Max", "Standard Dev"], "measure", "value")
+
+
 def histogram(
     df: DataFrame, value: Column, low: Column, high: Column, bins: int, by: Sequence[str] = ()
 ) -> DataFrame:

@@ -48,17 +48,23 @@ def mean_by(df: DataFrame, value: str, groups: Sequence[Column], name: str) -> D
     return df.groupBy(*groups).agg(F.avg(value).alias(name))
 
 
-def mean_by_half_hour(df: DataFrame, value: str = "new_volume") -> DataFrame:
-    means = mean_by(with_half_hours(df), value, [F.col("subgrid"), F.col("subgrid_id")], "mean_volume")
-    return means.orderBy(F.desc_nulls_last("mean_volume"), "subgrid")
+def mean_by_half_hour(df: DataFrame, value: str = "new_volume", keys: Sequence[str] = ()) -> DataFrame:
+    groups = [F.col(c) for c in (*keys, "subgrid", "subgrid_id")]
+    means = mean_by(with_half_hours(df), value, groups, "mean_volume")
+    return means.orderBy(*keys, F.desc_nulls_last("mean_volume"), "subgrid")
 
 
-def mean_by_week(df: DataFrame, value: str = "new_volume", date: str = "index_date") -> DataFrame:
-    means = mean_by(df, value, [week_of_year(F.col(date)).alias("week")], "average_volume")
-    return means.orderBy(F.desc_nulls_last("average_volume"), "week")
+def mean_by_week(
+    df: DataFrame, value: str = "new_volume", date: str = "index_date", keys: Sequence[str] = ()
+) -> DataFrame:
+    groups = [*[F.col(k) for k in keys], week_of_year(F.col(date)).alias("week")]
+    means = mean_by(df, value, groups, "average_volume")
+    return means.orderBy(*keys, F.desc_nulls_last("average_volume"), "week")
 
 
-def mean_by_weekday(df: DataFrame, value: str = "new_volume", date: str = "index_date") -> DataFrame:
+def mean_by_weekday(
+    df: DataFrame, value: str = "new_volume", date: str = "index_date", keys: Sequence[str] = ()
+) -> DataFrame:
     day = F.col(date)
-    groups = [weekday_number(day).alias("wday"), weekday_label(day).alias("wday_label")]
-    return mean_by(df, value, groups, "avg_vol").orderBy("wday")
+    groups = [*[F.col(k) for k in keys], weekday_number(day).alias("wday"), weekday_label(day).alias("wday_label")]
+    return mean_by(df, value, groups, "avg_vol").orderBy(*keys, "wday")

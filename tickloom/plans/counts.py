@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import clock
-from ..functions.calendar import week_of_year
-from ..operators import profile, reshape, volume
+from ..functions.calendar import HALF_HOUR_LABELS, week_of_year
+from ..operators import datesets, profile, reshape, volume
 from ..operators.grid import date_semi_join, grid_left_join, session_grid
+from ..operators.quantiles import grouped_quantiles
 from ..operators.ranking import row_id
 from . import inputs
 from .registry import query
-from .sql import r, statement
+from .sql import CENTS, MINUTE_OF_DAY, r, statement
 
 
 @query("count_by_hour", "SELECT CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1")
@@ -120,18 +121,138 @@ def unpivot_summary(spark, folder):
     return wide.unpivot([], wide.columns, "measure", "value")
 
 
+_CLEAN_BY_KEY = f"""WITH slots AS (
+    SELECT event_type, CAST(ts AS DATE) AS index_date, {MINUTE_OF_DAY} AS index_time, count(*) AS no_trades,
+        CAST(sum({CENTS}) AS BIGINT) AS q FROM events GROUP BY 1, 2, 3
+), accumulated AS (
+    SELECT *, CAST(sum(q) OVER (PARTITION BY event_type, index_date ORDER BY index_time
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) % 200000 AS BIGINT) AS volume,
+        index_date <> lag(index_date) OVER (PARTITION BY event_type ORDER BY index_date, index_time) AS fresh
+    FROM slots WHERE index_time BETWEEN 30600 AND 54000
+), clean AS (
+    SELECT * FROM (SELECT *, CASE WHEN fresh THEN volume WHEN NOT fresh THEN volume - lag(volume)
+        OVER (PARTITION BY event_type ORDER BY index_date, index_time) END AS new_volume FROM accumulated)
+    WHERE new_volume > 0
+)
+"""
+
+
+@query(
+    "volume_summary_by_key",
+    _CLEAN_BY_KEY
+    + f"""SELECT event_type, unnest(['Min', 'Median', 'Mean', 'Max', 'Standard Dev']) AS measure,
+        unnest([{r('min(new_volume)')}, {r('median(new_volume)')}, {r('avg(new_volume)')},
+            {r('max(new_volume)')}, {r('stddev_samp(new_volume)')}]) AS value FROM clean GROUP BY 1""",
+)
+def volume_summary_by_key(spark, folder):
+    keys = ["event_type"]
+    return profile.summary_long(inputs.clean_volume(spark, folder, keys), "new_volume", keys)
+
+
+_PRICES = ("l_quantity", "l_extendedprice", "l_discount")
+
+
+@query(
+    "quantiles_by_key",
+    "\nUNION ALL ".join(
+        f"""SELECT l_returnflag, '{c}' AS "column", CAST({p} AS DOUBLE) AS p, {r(f'quantile_cont({c}, {p})')} AS quantile
+        FROM lineitem GROUP BY 1"""
+        for c in _PRICES
+        for p in (0, 0.25, 0.5, 0.75, 0.99, 1)
+    ),
+)
+def quantiles_by_key(spark, folder):
+    items = inputs.lineitem(spark, folder)
+    return grouped_quantiles(items, _PRICES, [0, 0.25, 0.5, 0.75, 0.99, 1], ["l_returnflag"])
+
+
+@query(
+    "distinct_dates_by_key",
+    """SELECT event_type, count(DISTINCT CAST(ts AS DATE)) AS all_dates,
+        count(DISTINCT CASE WHEN value > 150 THEN CAST(ts AS DATE) END) AS high_dates,
+        count(DISTINCT CAST(ts AS DATE)) - count(DISTINCT CASE WHEN value > 150 THEN CAST(ts AS DATE) END)
+            AS missing_dates FROM events GROUP BY 1""",
+)
+def distinct_dates_by_key(spark, folder):
+    keys = ["event_type"]
+    sets = datesets.date_sets(inputs.events(spark, folder), keys, "ts", high=F.col("value") > 150)
+    counts = datesets.sizes(sets, keys)
+    return counts.select(
+        *keys,
+        F.col("dates").alias("all_dates"),
+        F.col("high").alias("high_dates"),
+        (F.col("dates") - F.col("high")).alias("missing_dates"),
+    )
+
+
+@query(
+    "missing_dates_by_key",
+    """SELECT user_id, count(*) AS all_dates, count(o) AS found_dates, count(*) - count(o) AS missing_dates FROM (
+        SELECT user_id, e.date, o.date AS o FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events) e
+        LEFT JOIN (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events WHERE event_type = 'view') o USING (user_id, date))
+    GROUP BY 1""",
+)
+def missing_dates_by_key(spark, folder):
+    """Dates on which a user was active without a view, from the sets of two tables."""
+    keys, events = ["user_id"], inputs.events(spark, folder)
+    views = datesets.date_sets(events.filter("event_type = 'view'"), keys, "ts")
+    everything = datesets.date_sets(events, keys, "ts")
+    # of the views only dates that are in the table count as found
+    return datesets.missing_dates(everything, views, keys)
+
+
+@query(
+    "rows_lost_by_key",
+    """SELECT event_type, CAST(sum(a) AS BIGINT) AS rows_before, CAST(sum(k) AS BIGINT) AS rows_after,
+        CAST(sum(a - k) AS BIGINT) AS rows_lost, count(*) FILTER (WHERE k = 0) AS dates_lost FROM (
+        SELECT event_type, CAST(ts AS DATE) AS d, count(*) AS a, count(*) FILTER (WHERE value > 150) AS k
+        FROM events GROUP BY 1, 2) GROUP BY 1""",
+)
+def rows_lost_by_key(spark, folder):
+    events = inputs.events(spark, folder).withColumn("index_date", F.to_date("ts"))
+    return profile.rows_lost(events, F.col("value") > 150, keys=["event_type"])
+
+
+@query(
+    "edges_by_key",
+    f"""SELECT CASE WHEN a = 1 THEN 'first' ELSE 'last' END AS edge, event_type, event_id, ts, {r('value')} AS value FROM (
+        SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a,
+            row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS z FROM events)
+    WHERE a = 1 OR z = 1""",
+)
+def edges_by_key(spark, folder):
+    rows = inputs.events(spark, folder).select("event_type", "event_id", "ts", "value")
+    return profile.edges(rows, ["ts", "event_id"], ["event_type"])
+
+
 _LABELS = "CAST(least((index_time - 30600) // 1800 + 1, 13) AS BIGINT)"
 
 
+# The buckets' names, first to last.
+_NAMES = "[" + ", ".join(f"'{HALF_HOUR_LABELS[i]}'" for i in range(13)) + "]"
+
+
 @query(
     "mean_by_subgrid",
     statement(
-        f"""SELECT {_LABELS} AS subgrid, {r('avg(new_volume)')} AS mean_volume FROM clean GROUP BY 1""",
+        f"""SELECT {_LABELS} AS subgrid, {_NAMES}[{_LABELS}] AS subgrid_id, {r('avg(new_volume)')} AS mean_volume
+        FROM clean GROUP BY 1, 2""",
         "clean",
     ),
 )
 def mean_by_subgrid(spark, folder):
-    return volume.mean_by_half_hour(inputs.clean_volume(spark, folder)).drop("subgrid_id")
+    return volume.mean_by_half_hour(inputs.clean_volume(spark, folder))
+
+
+@query(
+    "mean_by_subgrid_by_key",
+    _CLEAN_BY_KEY
+    + f"""SELECT event_type, {_LABELS} AS subgrid, {_NAMES}[{_LABELS}] AS subgrid_id, {r('avg(new_volume)')} AS mean_volume
+    FROM clean GROUP BY 1, 2, 3""",
+)
+def mean_by_subgrid_by_key(spark, folder):
+    keys = ["event_type"]
+    return volume.mean_by_half_hour(inputs.clean_volume(spark, folder, keys), keys=keys)
 
 
 @query(

@@ -75,8 +75,8 @@ def staged_tape(
     return stage(minutes, "tape")
 
 
-def session_tape(spark: SparkSession, folder: str) -> DataFrame:
-    return tape(spark, folder).filter(in_session(F.col("index_time")))
+def session_tape(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
+    return tape(spark, folder, keys).filter(in_session(F.col("index_time")))
 
 
 def padded(spark: SparkSession, folder: str, extras: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
@@ -93,20 +93,20 @@ def daily_rv(spark: SparkSession, folder: str) -> DataFrame:
     return realized_variance(returns(spark, folder))
 
 
-def voltape(spark: SparkSession, folder: str) -> DataFrame:
+def voltape(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
     """Session minutes with a volume that accumulates over the date."""
-    so_far = Window.partitionBy("index_date").orderBy("index_time").rowsBetween(
+    so_far = Window.partitionBy(*keys, "index_date").orderBy("index_time").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     minutes = stage(
-        session_tape(spark, folder).select("index_date", "index_time", "no_trades", "q"), "voltape"
+        session_tape(spark, folder, keys).select(*keys, "index_date", "index_time", "no_trades", "q"), "voltape"
     )
-    changes = day_change(minutes)
+    changes = day_change(minutes, minute_axis(keys))
     return changes.withColumn("volume", F.sum("q").over(so_far) % VOLUME_WRAP).drop("q")
 
 
-def clean_volume(spark: SparkSession, folder: str) -> DataFrame:
-    return volume_delta(voltape(spark, folder))
+def clean_volume(spark: SparkSession, folder: str, keys: Sequence[str] = ()) -> DataFrame:
+    return volume_delta(voltape(spark, folder, keys), axis=minute_axis(keys))
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:
