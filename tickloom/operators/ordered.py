@@ -192,6 +192,24 @@ def rolling_sum(df: DataFrame, value: str, period: int, name: str, axis: Axis =
     return df.withColumn(name, guarded_sum(value, period, axis.within()))
 
 
+def prefix_sums(df: DataFrame, value: str, names: Mapping[int, str], axis: Axis = MINUTES) -> DataFrame:
+    """Right-aligned rolling sums ``{period: name}`` inside each segment, from cumulative sums.
+
+    A sum over ``period`` rows is the cumulative sum here less the one ``period`` rows ago,
+    and is NULL unless as many values became known in between. One sort of the segment
+    serves any number of periods, and no frame is walked. Equal to :func:`guarded_sum` up
+    to rounding; infinities and NaN spoil the rest of their segment.
+    """
+    within = axis.within()
+    so_far = within.rowsBetween(START, HERE)
+    known = df.withColumns({"_sum": F.coalesce(F.sum(value).over(so_far), F.lit(0.0)), "_known": F.count(value).over(so_far)})
+    moved = lambda name, period, none: F.col(name) - F.lag(name, period, none).over(within)
+    sums = {
+        name: F.when(moved("_known", period, 0) == period, moved("_sum", period, 0.0)) for period, name in names.items()
+    }
+    return known.withColumns(sums).drop("_sum", "_known")
+
+
 def block_axis(axis: Axis = MINUTES) -> Axis:
     """The axis of a series cut by :func:`sums_across`."""
     return Axis("_block", ("_rank",), axis.keys)

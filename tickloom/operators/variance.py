@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import annualise, is_missing, log_change
-from .ordered import Axis, MINUTES, START, HERE, block_axis, guarded_sum, minute_axis, sums_across
+from .ordered import Axis, MINUTES, START, HERE, block_axis, guarded_sum, minute_axis, prefix_sums, sums_across
 
 SPARSE_GRID = range(1, 61)
 ROLLING_PERIODS = (5, 10, 15, 30)
@@ -212,6 +212,23 @@ def rolling_rv(rolled: DataFrame, keys: Sequence[str] = (), form: str = "252_sqr
     return rv.withColumn("rv_an", annualise(F.col("rv"), form))
 
 
+def rv_of_sums(
+    returns: DataFrame, periods: Iterable[int] = SPARSE_GRID, keys: Sequence[str] = (), form: str = "252_sqrt_rv"
+) -> DataFrame:
+    """``(keys, s, index_date, rv, rv_an)`` of the sums over every ``s`` rows of a date, for all ``s`` at once.
+
+    The sums come from cumulative sums and are squared and added up where they stand: one
+    exchange by date, one sort, and one row per date on its way out, for any number of periods.
+    """
+    periods = sorted(set(periods))
+    date = [*keys, "index_date"]
+    sums = prefix_sums(returns.select(*date, "index_time", "log_ret"), "log_ret", {s: f"_{s}" for s in periods}, minute_axis(keys))
+    wide = sums.groupBy(*date).agg(*[F.sum(F.col(f"_{s}") * F.col(f"_{s}")).alias(f"_{s}") for s in periods])
+    entries = F.array(*[F.struct(F.lit(s).alias("s"), F.col(f"_{s}").alias("rv")) for s in periods])
+    rv = wide.select(*date, F.inline(entries)).filter("rv IS NOT NULL")
+    return rv.select(*keys, "s", "index_date", "rv", annualise(F.col("rv"), form).alias("rv_an"))
+
+
 def sparse_rv_rolling(
     returns: DataFrame, periods: Iterable[int] = ROLLING_PERIODS, keys: Sequence[str] = (), across: bool = False
 ) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.clock import SESSION_OPEN, epoch_seconds, minute_of_day, moment
+from ..functions.clock import SESSION_OPEN, epoch_seconds, in_session, minute_of_day, moment
 from ..operators import grid, ordered, returns, volume
 from ..operators.profile import null_counts
+from ..session import staging_path
+from ..sources.files import sink_checked
 from . import inputs, prepare
 from .registry import query
 from .sql import MOMENT, clip, ln, r, statement
@@ -74,6 +76,27 @@ def pad_check(spark, folder):
     return null_counts(inputs.padded(spark, folder, ["no_trades"]))
 
 
+@query(
+    "pad_check_on_write",
+    statement(
+        """SELECT "column", count(*) FILTER (WHERE missing) AS no_missing, count(*) AS no_rows,
+            count(*) FILTER (WHERE outside) AS no_outside FROM (
+            SELECT unnest(['index_date', 'index_time', 'last_price', 'no_trades']) AS "column",
+                unnest([index_date IS NULL, index_time IS NULL, last_price IS NULL, no_trades IS NULL]) AS missing,
+                index_time NOT BETWEEN 30600 AND 54000 AS outside
+            FROM padded) GROUP BY 1""",
+        "padded",
+    ),
+)
+def pad_check_on_write(spark, folder):
+    """The checks of a padded series, measured by the job that writes it."""
+    padded = inputs.padded(spark, folder, ["no_trades"])
+    outside = ~in_session(F.col("index_time"))
+    missing, counts = sink_checked(padded, staging_path(spark, "checked"), outside=outside)
+    rows = [(c, n, counts["rows"], counts["outside"]) for c, n in missing.items()]
+    return spark.createDataFrame(rows, "column string, no_missing long, no_rows long, no_outside long")
+
+
 # --- joins ------------------------------------------------------------------------
 
 

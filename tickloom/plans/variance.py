@@ -141,6 +141,26 @@ def rv_s_k(spark, folder):
     return rv_ops.rolling_rv(rv_ops.rolling_returns(_returns(spark, folder)))
 
 
+_SUMS = "\nUNION ALL ".join(
+    f"""SELECT CAST({s} AS BIGINT) AS s, index_date, CASE WHEN count(log_ret) OVER w = {s} THEN sum(log_ret) OVER w END AS ret
+        FROM returns WINDOW w AS (PARTITION BY index_date ORDER BY index_time ROWS BETWEEN {s - 1} PRECEDING AND CURRENT ROW)"""
+    for s in rv_ops.SPARSE_GRID
+)
+
+
+@query(
+    "rv_of_sums",
+    statement(
+        f"""SELECT s, index_date, {r('sum(ret * ret)')} AS rv, {r('252 * sqrt(sum(ret * ret))')} AS rv_an
+        FROM ({_SUMS}) WHERE ret IS NOT NULL GROUP BY 1, 2""",
+        "returns",
+    ),
+)
+def rv_of_sums(spark, folder):
+    """Sums over 1 to 60 minutes in one plan."""
+    return rv_ops.rv_of_sums(inputs.returns(spark, folder))
+
+
 _WIDE = f"""SELECT rv.index_date, rv.rv, {', '.join(f's{s}.rv_sparse AS rv_s{s}' for s in _PERIODS)} FROM rv
     {' '.join(f'LEFT JOIN (SELECT * FROM ({_ROLLED}) WHERE s_grid = {s}) s{s} ON rv.index_date = s{s}.index_date'
               for s in _PERIODS)}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.reshape import bind_rows, rename_positional
@@ -87,6 +87,26 @@ def sink_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def sink_checked(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), **checks: Column
+) -> tuple[dict[str, int], dict[str, int]]:
+    """Replace the table at ``path`` and measure it on the way, in the same job.
+
+    Gives the number of missing values per column, and ``rows`` and the number of rows that
+    pass each of ``checks``. The metrics are taken where the rows are written, behind any
+    shuffle, so a task that runs again does not count twice.
+    """
+    seen = Observation()
+    missing = [F.count_if(F.col(c).isNull()).alias(f"missing {c}") for c in df.columns]
+    passed = [F.count_if(F.coalesce(c, F.lit(False))).alias(f"passed {name}") for name, c in checks.items()]
+    out = df.hint("rebalance", *[F.col(c) for c in partition_by]) if partition_by else df
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), *missing, *passed)
+    out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    found = seen.get
+    counts = {"rows": found["rows"], **{name: found[f"passed {name}"] for name in checks}}
+    return {c: found[f"missing {c}"] for c in df.columns}, counts
+
+
 def sink_csv_overwrite(df: DataFrame, path: str) -> None:
     """Write CSV part files with a header in place of whatever is at ``path``."""
     df.write.mode("overwrite").option("header", True).csv(path)
