@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import zstandard
 
@@ -85,7 +86,7 @@ def rules(text):
     text = text or ""
     words = SPACED.findall(text)
     runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    often = {r for r in runs if runs.count(r) > 1} if len(runs) < 3000 else None
+    often = {r for r, n in Counter(runs).items() if n > 1}
     hit = set()
     for i, r in enumerate(runs):
         if r in often:
@@ -96,7 +97,7 @@ def rules(text):
     pack = zstandard.ZstdCompressor(level=LEVEL)
     low_, high = [b[1:] for b in DOCUMENT_BANDS if len(data) >= b[0]][-1]
     good = bool(data) and low_ <= len(data) / len(pack.compress(data)) <= high
-    full = len(data) // CHUNK if len(data) >= 2 * CHUNK else 0
+    full = len(data) // CHUNK
     bad = sum(
         not CHUNK_BAND[0] <= CHUNK / len(pack.compress(data[k * CHUNK : (k + 1) * CHUNK])) <= CHUNK_BAND[1]
         for k in range(full)

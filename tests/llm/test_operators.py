@@ -3,16 +3,21 @@
 import hashlib
 import base64
 import random
+import re
+from pathlib import Path
+from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import language, quality_model, substrings
+from tickloom.llm import language, quality_model, substrings, tokens
 from tickloom.llm.common import prepared, table
 from tickloom.llm.components import components
 from tickloom.llm.decontaminate import contamination_report, find_contamination, remove_spans
 from tickloom.llm.minhash import near_duplicates
-from tickloom.llm.packing import pack
+from tickloom.llm.packing import cuts_of, pack
 from tickloom.llm.quality_rules import quality_rules
 from tickloom.llm.queries import RULES, vocabulary
 from tickloom.llm.substrings import substring_dedup
@@ -192,7 +197,7 @@ def test_decontamination(docs, corpus, items):
 
 def test_quality_rules(docs, corpus):
     for r in quality_rules(docs).collect():
-        wanted = plain.rules(dict(corpus)[r.doc_id]) if r.n_words < 3000 else {}
+        wanted = plain.rules(dict(corpus)[r.doc_id])
         assert {k: r[k] for k in wanted} == wanted
 
 
@@ -215,6 +220,25 @@ def test_encoder_equals_the_library(corpus):
         assert [int.from_bytes(got[i : i + 4], "little") for i in range(0, len(got), 4)] == wanted, text
 
 
+@pytest.mark.parametrize("name, chunk, remembered", [("byte_bpe_50k.json", 1 << 20, 1 << 20), (None, 64, 1 << 20), (None, 1 << 20, 50)])
+def test_encoder_of_other_files_and_bounds(corpus, monkeypatch, name, chunk, remembered):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    file = vocabulary(name) if name else vocabulary()
+    whole, fast = Tokenizer.from_file(file), Encoder(file, remembered)
+    assert fast.by_pieces == (name is None)
+    texts = ODD + ["Hello big World", "no-blank" * 400 + "!", "x1" * 3000, " ".join(f"q{k}z{k * k}" for k in range(300))] + [t or "" for _, t in corpus[:40]]
+    for _ in range(2):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        edges = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+        ids, counts = fast.rows(data, edges)
+        at = 0
+        for text, n in zip(texts, counts.tolist()):
+            assert ids[at : at + n].tolist() == whole.encode(text, add_special_tokens=False).ids, text[:60]
+            at += n
+
+
 def ids_of(text):
     from tokenizers import Tokenizer
 
@@ -232,6 +256,93 @@ def test_token_store(spark, docs, corpus):
         start += len(ids)
 
 
+def test_token_files_can_be_read_in_part(spark):
+    """Encodings and page indexes as promised; a filter on the id reads fewer rows."""
+    docs = spark.createDataFrame([(k, f"text number {k} " * 20) for k in range(9000)], "doc_id long, text string").coalesce(1)
+    path = staging_path(spark, "tokens")
+    write_tokens(docs, path, vocabulary(), end=1)
+    files = [f for f in Path(urlparse(path).path).glob("*.parquet")]
+    assert files
+    for f in files:
+        group = pq.ParquetFile(f).metadata.row_group(0)
+        columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
+        assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+        assert "RLE_DICTIONARY" in columns["ids"].encodings and columns["ids"].compression == "ZSTD"
+        assert columns["doc_id"].has_column_index and columns["doc_id"].has_offset_index
+    some = read_tokens(spark, path).filter("doc_id BETWEEN 4000 AND 4010").select("doc_id", "ids")
+    assert some.count() == 11
+    some.collect()
+    plan = some._jdf.queryExecution().executedPlan()
+    scans = re.findall(r"PushedFilters: \[([^\]]*)\]", plan.toString())
+    assert any("GreaterThanOrEqual(doc_id,4000)" in s for s in scans)
+    fresh = read_tokens(spark, path).filter("doc_id BETWEEN 4000 AND 4010").select("doc_id", "ids")
+    fresh.collect()
+    leaves = fresh._jdf.queryExecution().executedPlan().collectLeaves()
+    read = leaves.apply(0).metrics().apply("numOutputRows").value()
+    assert 11 <= read < 9000
+
+
+def test_dynamic_program_finds_the_least_cost():
+    draw = random.Random(7)
+
+    def least(places, penalty, size, per_window):
+        best = {0: 0.0}
+        for j in range(1, len(places)):
+            options = []
+            for i in range(j):
+                n = places[j] - places[i]
+                if n <= size:
+                    options.append(best[i] + (0 if n & (n - 1) == 0 else size - n))
+            best[j] = min(options) + penalty[j] + per_window
+        return best[len(places) - 1]
+
+    for _ in range(200):
+        size = draw.choice([8, 10, 16])
+        gaps = [draw.randrange(1, size + 1) for _ in range(draw.randrange(1, 12))]
+        places = np.concatenate([[0], np.cumsum(gaps)])
+        penalty = np.array([0.0] + [draw.choice([0.0, 1.0, 3.0]) for _ in gaps])
+        chosen = cuts_of(places, penalty, size, 2.0)
+        cost, before = 0.0, 0
+        for j in chosen:
+            n = int(places[j] - before)
+            assert 0 < n <= size
+            cost += (0 if n & (n - 1) == 0 else size - n) + penalty[j] + 2.0
+            before = int(places[j])
+        assert before == places[-1] and abs(cost - least(places.tolist(), penalty, size, 2.0)) < 1e-9
+
+
+def test_carried_names_must_not_clash(docs, items):
+    with pytest.raises(ValueError):
+        quality_rules(docs.withColumn("ratio", F.lit(1)), carry=("ratio",))
+    with pytest.raises(ValueError):
+        find_contamination(docs.withColumn("hits", F.lit(1)), items, carry=("hits",))
+    with pytest.raises(ValueError):
+        substring_dedup(docs, carry=("n_words",))
+    model = quality_model.Model(np.zeros(1 << quality_model.WEIGHT_BITS, np.float32), np.zeros(2), 0.5)
+    with pytest.raises(ValueError):
+        quality_model.grade(docs, model, 2, carry=("kept",))
+    with pytest.raises(ValueError):
+        language.identify(docs.withColumn("score", F.lit(1)), language.model_of([], []), carry=("score",))
+
+
+def test_texts_above_a_stretch(spark, items):
+    """One text of more than a mebibyte next to short ones, in the operators that read words."""
+    draw = random.Random(3)
+    shared = sentence(draw, 60)
+    long = sentence(draw, 250_000) + " " + shared + " " + sentence(draw, 10)
+    assert len(long) > 1 << 20
+    rows = [(1, shared), (2, long), (3, long + " end"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(df, size=5).collect()}
+    assert groups == {1: (56, 1), 2: (len(plain.shingles(long, 5)), 2), 3: (len(plain.shingles(long + " end", 5)), 2), 4: (0, 4)}
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(df).collect()}
+    wanted = plain.repeats(rows)
+    assert found == {d: (len(w), sum(g)) for d, (w, g) in wanted.items()}
+    asked = spark.createDataFrame([(7, " ".join(shared.split()[5:25]))], "item_id long, text string")
+    hits = {r.doc_id: (r.n_words, len(r.hits)) for r in find_contamination(df, asked).collect()}
+    assert hits == {d: (n, sum(h)) for d, (n, h, _) in plain.contamination(rows, asked.collect()).items()}
+
+
 @pytest.mark.parametrize("block", [1 << 20, 500])
 def test_packing(docs, corpus, block):
     rows = pack(docs, vocabulary(), end=2, block=block).collect()

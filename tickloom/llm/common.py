@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..session import stage
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-__all__ = ["prepared", "stage", "table", "with_fields"]
+__all__ = ["no_clash", "prepared", "stage", "table", "with_fields"]
 
 
 #: Size of an Arrow batch, unless the session names one. The default is 64 MB, which both
@@ -34,3 +35,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def with_fields(schema: StructType, more: str) -> StructType:
     """``schema`` followed by the fields of a DDL string."""
     return StructType(schema.fields + StructType.fromDDL(more).fields)
+
+
+def no_clash(carry: Iterable[str], added: Iterable[str]) -> None:
+    """Refuse carried columns that are named like a column of the result."""
+    both = sorted({*carry} & {*added})
+    if both:
+        raise ValueError(f"carried columns clash with the result: {both}; rename them first")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, with_fields
+from .common import no_clash, stage, with_fields
 from .text import U, alphanumeric, stretches, window_hashes, word_hashes
 
 WINDOW = 10
@@ -127,6 +127,7 @@ def find_contamination(
     without words is ignored; repeated items count once. Repeated rows are judged each by
     itself. An empty benchmark hits nothing. Only the named and ``carry`` columns are read.
     """
+    no_clash(carry, [id_column, "n_words", "hits", "items"])
     columns = [id_column, *carry]
     grams = item_windows(benchmark, size, item_column, item_text_column)
     total = grams.count()

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stage, with_fields
+from .common import no_clash, stage, with_fields
 from .text import U, _power_tables, _words, mix
 
 LONGEST = 5
@@ -204,6 +204,7 @@ def identify(
     model has no language. Null ids are passed on and repeated rows judged each by itself;
     only the named and ``carry`` columns are read.
     """
+    no_clash(carry, [id_column, "lang_pred", "score"])
     held = docs.sparkSession.sparkContext.broadcast(model)
     fields = docs.select(id_column, *carry).schema
 

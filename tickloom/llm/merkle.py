@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.ranking import row_id
-from .common import prepared, stage, with_fields
+from .common import no_clash, prepared, stage, with_fields
 
 #: Levels that one task builds at once, over 2**LEVELS neighbouring nodes.
 LEVELS = 8
@@ -147,8 +147,7 @@ def manifest(
     give no rows. Carried names must differ from the columns added.
     """
     added = ("id", "grp", "place", "subroot", "root", "proof")
-    if clash := {*added, id_column, group_column, leaf_column} & set(carry):
-        raise ValueError(f"carried columns clash with the result: {sorted(clash)}")
+    no_clash(carry, [*added, id_column, group_column, leaf_column])
     base = rows.select(
         rows[id_column].alias("id"),
         rows[group_column].alias("grp"),

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stage, with_fields
+from .common import no_clash, stage, with_fields
 from .text import U, alphanumeric, mix, raw, stretches, word_hashes
 
 #: Rated documents of each grade that are fitted on, about: those with the smallest hashes.
@@ -202,6 +202,7 @@ def grade(
     ids are passed on; repeated rows are judged each by itself; columns other than the
     named and ``carry`` ones are not read.
     """
+    no_clash(carry, [id_column, "expected_grade", "tail", "kept"])
     least = model.select if least is None else least
     held = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
     fields = docs.select(id_column, *carry).schema

@@ -9,7 +9,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import with_fields
+from .common import no_clash, with_fields
 from .text import spaced, stretches, window_hashes, word_hashes
 
 LEVEL = 3
@@ -133,6 +133,7 @@ def quality_rules(
     passed on; repeated rows are judged each by itself. Columns other than the two named
     and those in ``carry``, which are passed on, are not read.
     """
+    no_clash(carry, [id_column, *[name for name, _, _ in COLUMNS]])
     fields = docs.select(id_column, *carry).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import stage, with_fields
+from .common import no_clash, stage, with_fields
 from .text import U, Stretch, covered, spaced, stretches, window_hashes, word_hashes, _power_tables, mix
 
 WINDOW = 13
@@ -289,6 +289,7 @@ def substring_dedup(
     words nor take them from others. Rows that repeat an id count as one document, so
     they do not take words from each other; each loses what its own text repeats. Columns not named are not read.
     """
+    no_clash(carry, [id_column, "n_words", "n_removed", "kept"])
     tag = F.xxhash64(docs[text_column]).alias("tag")
     rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].alias("text"), tag)
     spans = repeated_spans(rows, size, anchor)

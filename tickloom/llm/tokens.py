@@ -86,8 +86,8 @@ class Table:
         return self.entries + new <= self.most
 
     def grow(self, new: int) -> None:
-        """Room for one chunk that alone has more pieces than are remembered."""
-        self.most = self.entries + new
+        """Start afresh with room for so many entries."""
+        self.most = new
         self.clear()
 
     def _slot(self, head, tail, length) -> np.ndarray:
@@ -249,49 +249,53 @@ class Encoder:
         ids, ends = self.table.gather(self._entries(data, low, begin, end, whole))
         return ids, ends[np.searchsorted(begin, edges)]
 
-    def _entries(self, data, low, begin, end, whole) -> np.ndarray:
-        length = end - begin
-        short = ~whole & (length <= 16)
+    def _entries(self, data, low, begin, end, whole, room: int = 0) -> np.ndarray:
+        """The table's entry of each piece; new ones are asked from the library and added.
+
+        Where they do not fit the table starts afresh, and if one chunk alone has more
+        pieces than are remembered, with ``room`` for all of them.
+        """
+        table = self.table
+        short = ~whole & (end - begin <= 16)
         b, e = begin[short], end[short]
         head, tail, n = short_keys(low, b, e)
-        table = self.table
         entry = np.zeros(len(begin), np.int32)
         found = table.find(head, tail, n)
         miss = np.flatnonzero(found == 0)
-        if len(miss):
-            order = miss[np.lexsort((n[miss], tail[miss], head[miss]))]
-            new = np.ones(len(order), bool)
-            for x in (n, tail, head):
-                x = x[order]
-                new[1:] &= x[1:] == x[:-1]
-            new[1:] = ~new[1:]
-            fresh = order[new]
-            if not table.fits(len(fresh)):
-                # start afresh; a chunk of many new pieces gets a table that holds them
-                table.clear() if len(fresh) * 2 <= table.most else table.grow(4 * len(begin))
-                return self._entries(data, low, begin, end, whole)
+        order = miss[np.lexsort((n[miss], tail[miss], head[miss]))]
+        new = np.ones(len(order), bool)
+        for x in (n, tail, head):
+            x = x[order]
+            new[1:] &= x[1:] == x[:-1]
+        new[1:] = ~new[1:]
+        fresh = order[new]
+
+        rest = np.flatnonzero(~short)
+        odd = whole[rest].tolist()
+        spelled = [(data if w else low)[x:y].tobytes() for x, y, w in zip(begin[rest].tolist(), end[rest].tolist(), odd)]
+        unknown = {s: w for s, w in zip(spelled, odd) if s not in table.loose}
+
+        if not table.fits(len(fresh) + len(unknown)):
+            if room:
+                table.grow(room)
+            else:
+                table.clear()
+            return self._entries(data, low, begin, end, whole, len(begin) + 1)
+        if len(fresh):
             raw = low.tobytes()
             made = table.add(*self._pieces([raw[x:y] for x, y in zip(b[fresh].tolist(), e[fresh].tolist())]))
             table.place(made, head[fresh], tail[fresh], n[fresh])
             found[order] = made[np.cumsum(new) - 1]
         entry[short] = found
-        rest = np.flatnonzero(~short)
         if len(rest):
-            spelled, odd = [], whole[rest].tolist()
-            for x, y, w in zip(begin[rest].tolist(), end[rest].tolist(), odd):
-                spelled.append((data if w else low)[x:y].tobytes())
-            unknown = list({s: w for s, w in zip(spelled, odd) if s not in table.loose}.items())
-            if not table.fits(len(unknown)):
-                table.clear() if len(unknown) * 2 <= table.most else table.grow(4 * len(begin))
-                return self._entries(data, low, begin, end, whole)
-            known = dict(table.loose) if len(unknown) > len(table.loose) else table.loose
-            for kind in (False, True):
-                chosen = [s for s, w in unknown if w == kind]
+            known = table.loose
+            passing = {}
+            for kind, ask in ((False, self._pieces), (True, self._words)):
+                chosen = [s for s, w in unknown.items() if w == kind]
                 if chosen:
-                    made = table.add(*(self._words(chosen) if kind else self._pieces(chosen)))
-                    known.update(zip(chosen, made.tolist()))
-            entry[rest] = [known[s] for s in spelled]
-            table.loose = {s: k for s, k in known.items() if len(s) <= LONGEST}
+                    for s, k in zip(chosen, table.add(*ask(chosen)).tolist()):
+                        (known if len(s) <= LONGEST else passing)[s] = k
+            entry[rest] = [known[s] if s in known else passing[s] for s in spelled]
         return entry
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -17,6 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST_RULES = 2_000
 #: Filter bits per listed URL and 64-bit words per block; two bits of each word are set.
 BITS, WORDS = 16, 4
+#: Bytes of the filter up to which it is broadcast to the pages (some six million listed
+#: URLs); a larger one meets them by shuffle.
+FILTER_BYTES = 16 << 20
 
 
 class Rule(NamedTuple):
@@ -96,7 +99,7 @@ def filter_urls(
     The longest fitting rule decides. Without one, a URL is blocked if its canonical form is
     that of a URL in ``listed``: the filter, a table of blocks that is joined on the block
     number, lets all listed URLs and few others through, and only those meet the list in
-    an exact join. Sizes decide how both joins run; neither needs a broadcast.
+    an exact join. The filter is broadcast up to ``FILTER_BYTES``; the exact join goes by size.
 
     A null or broken URL has empty host and path and fits no rule or list. An empty list
     blocks nothing. Repeated rows are judged each by itself; repeated list entries count
@@ -107,6 +110,8 @@ def filter_urls(
     )
     blocks = max(1, -(-known.count() * bits // (64 * WORDS)))
     bloom = stage(bloom_blocks(known, "known", blocks), "bloom")
+    if blocks * 8 * (WORDS + 1) <= FILTER_BYTES:
+        bloom = F.broadcast(bloom)
     url = pages[url_column]
     rows = pages.select(
         pages[id_column].alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("key")
@@ -122,7 +127,9 @@ def filter_urls(
         own = F.when(listed, "block").otherwise("allow")
         return [*columns, F.coalesce("found.verdict", own).alias("verdict"), listed.alias("listed")]
 
-    maybe = there & (F.col("key") != "")
+    # Pages are read and parsed once; what is written has urls only, no bodies.
+    probed = stage(probed.select("page_id", "host", "path", "found", "key", there.alias("there")), "probed")
+    maybe = F.col("there") & (F.col("key") != "")
     passed = probed.filter(maybe).join(known.withColumn("hit", F.lit(True)), F.col("key") == F.col("known"), "left")
     return (
         passed.select(*verdict(F.coalesce("hit", F.lit(False))))
