@@ -18,9 +18,11 @@ import pyarrow as pa
 from .text import U, lowered, short_keys
 
 #: Pieces that a worker remembers (about 30 bytes each) before it starts afresh.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
+#: Pieces that the library is asked for at once: it holds some kilobytes for each while it works.
+ASKED = 2_000
 #: Bytes of text taken at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Longest word, in bytes, that is remembered by its spelling instead of by its first and last 8 bytes.
 LONGEST = 64
 
@@ -303,12 +305,15 @@ class Encoder:
         return np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found], np.int32)
 
     def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Blanks keep pieces apart, so one call encodes all; the library tells which piece an id is of."""
-        told = self.tokenizer.encode(b" ".join(pieces).decode(), add_special_tokens=False)
-        counts = np.bincount(np.array(told.word_ids, np.int64), minlength=len(pieces))
-        if len(counts) != len(pieces):
-            return self._words(pieces)
-        return np.array(told.ids, np.int32), counts.astype(np.int32)
+        """Blanks keep pieces apart, so a call encodes many; the library tells which piece an id is of."""
+        parts = []
+        for at in range(0, len(pieces), ASKED):
+            some = pieces[at : at + ASKED]
+            told = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            counts = np.bincount(np.array(told.word_ids, np.int64), minlength=len(some))
+            parts.append((np.array(told.ids, np.int32), counts) if len(counts) == len(some) else self._words(some))
+        ids, counts = (np.concatenate(x) for x in zip(*parts))
+        return ids, counts.astype(np.int32)
 
     def closed(self, data: np.ndarray, edges: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`rows`, with the id ``end`` after each row."""
