@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import variance
 from tickloom.operators.ordered import prefix_sums
-from tickloom.sources.files import scan_parquet, sink_checked
+from tickloom.operators.returns import log_returns
+from tickloom.sources.files import scan_parquet, sink_bucketed, sink_checked
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,18 @@ def test_checks_come_with_the_write(spark, tmp_path, partition_by):
     assert scan_parquet(spark, str(tmp_path / "t")).count() == 100
     missing, counts = sink_checked(df.limit(0), str(tmp_path / "t"), partition_by)
     assert counts == {"rows": 0} and set(missing.values()) == {0}
+
+
+def test_buckets_spare_the_exchange(spark, series, tmp_path):
+    rows = [(d, m, float(d + m % 5 + 1)) for d in range(6) for m in range(30)]
+    prices = series(rows, "last_price")
+    stored = sink_bucketed(prices, "bucketed_prices", str(tmp_path / "b"), ["index_date"], ["index_time"], 3)
+    moved = log_returns(stored)
+    other = sink_bucketed(prices.withColumnRenamed("last_price", "p"), "bucketed_ticks", str(tmp_path / "c"), ["index_date"], ["index_time"], 3)
+    met = stored.hint("merge").join(other, ["index_date", "index_time"], "left")
+    for df in (moved, met):
+        df.collect()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    want = sorted(map(tuple, log_returns(prices).collect()), key=str)
+    assert sorted(map(tuple, moved.collect()), key=str) == want
+    assert met.count() == len(rows) and met.filter("p <> last_price").count() == 0

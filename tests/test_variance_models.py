@@ -187,3 +187,20 @@ def test_returns_of_a_date_add_up(series):
         )
     )
     assert all(r.total == pytest.approx(math.log(r.b / r.a)) for r in sums.collect())
+
+
+def test_local_trend_follows_lines_and_skips_gaps(spark):
+    start = dt.date(2024, 1, 1)
+    days = [0, 1, 2, 5, 6, 9, 12, 13, 30]
+    rows = [("line", start + dt.timedelta(days=d), 3.0 + 2 * d) for d in days]
+    rows += [("gap", start + dt.timedelta(days=d), None if d == 5 else float(d)) for d in days]
+    rows += [("one", start, 4.0), ("none", start, None), ("same", start, 1.0), ("same", start, 3.0)]
+    df = spark.createDataFrame(rows, "k string, date date, v double")
+    found = {}
+    for r in models.local_trend(df, "v", "date", 3, ["k"]).collect():
+        found.setdefault(r.k, []).append((r.date, r.trend))
+    for d, trend in found["line"]:
+        assert abs(trend - (3 + 2 * (d - start).days)) < 1e-9
+    for d, trend in found["gap"]:
+        assert abs(trend - (d - start).days) < 1e-9
+    assert found["one"] == [(start, 4.0)] and found["none"] == [(start, None)] and [t for _, t in found["same"]] == [2.0, 2.0]

@@ -21,6 +21,41 @@ def trend_smooth(daily: DataFrame, value: str, order: str, half_width: int, keys
     return daily.withColumn("smooth", F.avg(value).over(around))
 
 
+def local_trend(daily: DataFrame, value: str, order: str, half_width: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``trend``: a line fitted around each date, at that date.
+
+    The ``2 * half_width + 1`` nearest rows in order, fewer at the ends, take part with
+    tricube weights of their distance in days, zero at the farthest. NULLs and NaNs take
+    no part; dates without a value get a trend from their neighbours. Where the rows give
+    no slope the weighted mean stands in. The fit needs five weighted sums over a short
+    array, so a date costs its neighbourhood, not the series.
+    """
+    around = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half_width, half_width)
+    day = F.unix_date(F.to_date(order)).cast("double")
+    point = F.when(~is_missing(F.col(value)), F.struct(day.alias("x"), F.col(value).cast("double").alias("y")))
+    near = daily.withColumn("_near", F.collect_list(point).over(around))  # NULLs are not collected
+    centred = F.transform("_near", lambda p: F.struct((p["x"] - day).alias("x"), p["y"].alias("y")))
+    reach = F.array_max(F.transform("_near", lambda p: F.abs(p["x"] - day)))
+    near = near.withColumns({"_near": centred, "_reach": reach})
+    share = lambda p: F.abs(p["x"]) / F.col("_reach")
+    weight = lambda p: F.when(F.col("_reach") == 0, F.lit(1.0)).otherwise(F.pow(1 - F.pow(share(p), F.lit(3.0)), F.lit(3.0)))
+    weighed = F.transform("_near", lambda p: F.struct(weight(p).alias("w"), p["x"].alias("x"), p["y"].alias("y")))
+    near = near.withColumn("_near", weighed)
+    total = lambda term: F.aggregate("_near", F.lit(0.0), lambda a, p: a + term(p))
+    sums = {
+        "_w": total(lambda p: p["w"]),
+        "_wx": total(lambda p: p["w"] * p["x"]),
+        "_wxx": total(lambda p: p["w"] * p["x"] * p["x"]),
+        "_wy": total(lambda p: p["w"] * p["y"]),
+        "_wxy": total(lambda p: p["w"] * p["x"] * p["y"]),
+    }
+    spread = F.col("_w") * F.col("_wxx") - F.col("_wx") * F.col("_wx")
+    line = (F.col("_wxx") * F.col("_wy") - F.col("_wx") * F.col("_wxy")) / spread
+    mean = F.when(F.col("_w") > 0, F.col("_wy") / F.when(F.col("_w") > 0, F.col("_w")))
+    fitted = F.when(F.abs(spread) > 1e-9, line).otherwise(mean)
+    return near.withColumns(sums).withColumn("trend", fitted).drop("_near", "_reach", *sums)
+
+
 def har_features(
     daily: DataFrame, rv: str, order: str, horizon: int = HORIZON, keys: Sequence[str] = ()
 ) -> DataFrame:

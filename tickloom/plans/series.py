@@ -8,11 +8,13 @@ from ..functions.clock import SESSION_OPEN, epoch_seconds, in_session, minute_of
 from ..operators import grid, ordered, returns, volume
 from ..operators.profile import null_counts
 from ..session import staging_path
-from ..sources.files import sink_checked
+from ..sources.files import sink_bucketed, sink_checked
 from . import inputs, prepare
 from .registry import query
 from .sql import MOMENT, clip, ln, r, statement
 
+BUCKETS = 8  # of the stored series; take some thousand dates and keys a bucket
+
 # --- grids and padding ------------------------------------------------------------
 
 
@@ -234,6 +236,23 @@ def log_return(spark, folder):
     return returns.log_returns(series, overnight="include").drop("last_price")
 
 
+@query(
+    "bucketed_returns",
+    statement(
+        f"""SELECT index_date, index_time, {r('last_price')} AS last_price, no_trades, {r('log_ret')} AS log_ret
+        FROM returns""",
+        "returns",
+    ),
+)
+def bucketed_returns(spark, folder):
+    """Grid join and returns of a series that is stored by date: no exchange after the write."""
+    ticks = inputs.staged_tape(spark, folder, ["last_price", "no_trades"])
+    series = grid.pad_session(ticks, extras=["no_trades"])
+    path = staging_path(spark, "buckets")
+    stored = sink_bucketed(series, f"series_{path[-32:]}", path, ["index_date"], ["index_time"], BUCKETS)
+    return returns.clip_returns(returns.log_returns(stored), inputs.THRESHOLD)
+
+
 @query(
     "overnight_null",
     statement(

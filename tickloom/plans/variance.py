@@ -305,6 +305,25 @@ def trend_smooth(spark, folder):
     return models.trend_smooth(series, "turnover", "date", 15)
 
 
+@query(
+    "local_trend",
+    statement(
+        f"""SELECT date, {r('turnover')} AS turnover, {r('(sxx * sy - sx * sxy) / (sw * sxx - sx * sx)')} AS trend FROM (
+            SELECT date, any_value(turnover) AS turnover, sum(w) AS sw, sum(w * x) AS sx, sum(w * x * x) AS sxx,
+                sum(w * y) AS sy, sum(w * x * y) AS sxy FROM (
+                SELECT *, pow(1 - pow(abs(x) / max(abs(x)) OVER (PARTITION BY date), 3), 3) AS w FROM (
+                    SELECT a.date, a.turnover, date_diff('day', a.date, b.date)::DOUBLE AS x, b.turnover AS y
+                    FROM ranked a JOIN ranked b ON b.n BETWEEN a.n - 30 AND a.n + 30))
+            GROUP BY date)""",
+        "daily",
+    ).replace("\nSELECT date,", ", ranked AS (SELECT *, row_number() OVER (ORDER BY date) AS n FROM daily)\nSELECT date,", 1),
+)
+def local_trend(spark, folder):
+    """A line through the sixty nearest dates of each date."""
+    series = inputs.daily(spark, folder).select("date", "turnover")
+    return models.local_trend(series, "turnover", "date", 30)
+
+
 def _ln_mean(frame, n):
     window = f"(ORDER BY date ROWS BETWEEN {frame})"
     return f"CASE WHEN count(turnover) OVER {window} = {n} THEN ln(avg(turnover) OVER {window}) END"
