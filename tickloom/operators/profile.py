@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import equal_width_bin
 from ..session import stage
 from .quantiles import grouped_quantiles
-from .ranking import quantiles_of_ranked, ranked_values, with_names
+from .ranking import quantiles_of_ranked, range_segments, ranked_values, with_names
 
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -165,19 +165,20 @@ def table_skim(
     """One row per column: missing values, moments, exact quartiles, histogram,
     distinct values and most frequent values, as far as the kind of column has them.
 
-    Numbers and dates (as days) share one table of value counts, written once;
-    everything about them is read from it instead of from the rows.
+    The rows are read once, for a table of how often each column holds each value, text or
+    NULL; numbers and dates (as days) share a column of it. It is written, and everything
+    else is read from it. A table without rows gives none.
     """
-    days = {d: F.unix_date(F.to_date(d)) for d in dates}
-    measured = df.select(*numbers, *[c.alias(d) for d, c in days.items()])
-    ranked = ranked_values(measured, [*numbers, *dates])
+    every = [*numbers, *dates, *factors]
+    counts = _cell_counts(df, numbers, dates, factors)
+    known = counts.filter("value IS NOT NULL AND NOT isnan(value)").select("column", "value", "copies")
+    ranked = range_segments(known, ["column", "value"])
     kinds = {**dict.fromkeys(numbers, "numeric"), **dict.fromkeys(dates, "date"), **dict.fromkeys(factors, "factor")}
     kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
 
-    missing = df.agg(
-        F.count(F.lit(1)).alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(c) for c in kinds]
-    ).unpivot(["_rows"], list(kinds), "column", "n_missing")
-    base = missing.select(
+    missing = F.coalesce(F.sum(F.when(F.col("value").isNull() & F.col("level").isNull(), F.col("copies"))), F.lit(0))
+    sizes = counts.groupBy("column").agg(F.sum("copies").alias("_rows"), missing.alias("n_missing"))
+    base = with_names(sizes, every).select(
         "column",
         kind[F.col("column")].alias("kind"),
         "n_missing",
@@ -194,7 +195,7 @@ def table_skim(
     numeric = with_names(shape.join(quartiles, "column"), [*numbers, *dates])
     skim = base.join(numeric, "column", "left")
     if factors:
-        skim = skim.join(top_values(df, factors, top), "column", "left")
+        skim = skim.join(_top_values(with_names(counts.filter("level IS NOT NULL"), every), factors, top), "column", "left")
     else:
         skim = skim.withColumns({"_levels": F.lit(None).cast("long"), "top_counts": F.lit(None).cast("string")})
 
@@ -218,26 +219,32 @@ def table_skim(
     )
 
 
-def top_values(df: DataFrame, factors: Sequence[str], top: int) -> DataFrame:
+def _cell_counts(
+    df: DataFrame, numbers: Sequence[str], dates: Sequence[str], factors: Sequence[str]
+) -> DataFrame:
+    """``(column, value, level, copies)``, written once; ``column`` is a place among all columns."""
+    values = [*[F.col(c) for c in numbers], *[F.unix_date(F.to_date(d)) for d in dates], *[F.lit(None)] * len(factors)]
+    levels = [*[F.lit(None)] * (len(numbers) + len(dates)), *[F.col(c) for c in factors]]
+    cells = [
+        F.struct(F.lit(i).alias("column"), v.cast("double").alias("value"), x.cast("string").alias("level"))
+        for i, (v, x) in enumerate(zip(values, levels))
+    ]
+    long = df.select(F.inline(F.array(*cells)))
+    return stage(long.groupBy("column", "value", "level").agg(F.count(F.lit(1)).alias("copies")), "cells")
+
+
+def _top_values(levels: DataFrame, factors: Sequence[str], top: int) -> DataFrame:
     """``(column, _levels, top_counts)`` with the most frequent levels as text.
 
     The number of levels may be large, so the top ones come from a sort with a
     limit per column rather than from one window over all levels.
     """
-    texts = df.select(*[F.col(f).cast("string").alias(f) for f in factors])
-    levels = stage(
-        texts.unpivot([], list(factors), "column", "level")
-        .filter(F.col("level").isNotNull())
-        .groupBy("column", "level")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "levels",
-    )
     best = None
     for factor in factors:
-        one = levels.filter(F.col("column") == factor).orderBy(F.desc("n"), "level").limit(top)
+        one = levels.filter(F.col("column") == factor).orderBy(F.desc("copies"), "level").limit(top)
         best = one if best is None else best.unionByName(one)
-    entry = F.struct((-F.col("n")).alias("order"), "level", "n")
+    entry = F.struct((-F.col("copies")).alias("order"), "level", "copies")
     ordered = F.array_sort(F.collect_list(entry))  # at most ``top`` entries
-    text = F.transform(ordered, lambda e: F.format_string("%s: %d", e["level"], e["n"]))
+    text = F.transform(ordered, lambda e: F.format_string("%s: %d", e["level"], e["copies"]))
     tops = best.groupBy("column").agg(F.concat_ws(", ", text).alias("top_counts"))
     return levels.groupBy("column").agg(F.count(F.lit(1)).alias("_levels")).join(tops, "column")
