@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import variance
 from tickloom.operators.ordered import prefix_sums
 from tickloom.operators.returns import log_returns
+from tickloom.session import SESSION_DEFAULTS
 from tickloom.sources.files import scan_parquet, sink_bucketed, sink_checked
 
 
@@ -55,6 +56,8 @@ def test_checks_come_with_the_write(spark, tmp_path, partition_by):
 
 
 def test_buckets_spare_the_exchange(spark, series, tmp_path):
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(name, SESSION_DEFAULTS[name])
     rows = [(d, m, float(d + m % 5 + 1)) for d in range(6) for m in range(30)]
     prices = series(rows, "last_price")
     stored = sink_bucketed(prices, "bucketed_prices", str(tmp_path / "b"), ["index_date"], ["index_time"], 3)
@@ -67,3 +70,4 @@ def test_buckets_spare_the_exchange(spark, series, tmp_path):
     want = sorted(map(tuple, log_returns(prices).collect()), key=str)
     assert sorted(map(tuple, moved.collect()), key=str) == want
     assert met.count() == len(rows) and met.filter("p <> last_price").count() == 0
+    spark.conf.unset(name)
