@@ -17,7 +17,7 @@ __all__ = ["no_clash", "prepared", "stage", "table", "with_fields"]
 
 #: Size of an Arrow batch, unless the session names one. The default is 64 MB, which both
 #: sides of a Python task hold several times over, outside the heap.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import no_clash, stage, with_fields
@@ -141,16 +142,17 @@ def fit(docs: DataFrame, lang: str, text: str, id_column: str, sample: int = SAM
         share = F.when(F.col(lang) == name, F.lit(min(1.0, sample / n))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.col(id_column).cast("string")), F.lit(1_000_003)) / 1_000_003.0
     counts = stage(_counts(labelled.filter(draw < share).select(lang, text)), "counts")
-    return model_of(langs, [counts.filter(F.col("kind") == k).select("lang", "hash", "n").toArrow() for k in range(LONGEST + 1)])
+    # one kind at a time: the driver holds one table of counts
+    return model_of(langs, (counts.filter(F.col("kind") == k).select("lang", "hash", "n").toArrow() for k in range(LONGEST + 1)))
 
 
-def model_of(langs: list[str], counts: list[pa.Table]) -> Model:
+def model_of(langs: list[str], counts: Iterable[pa.Table]) -> Model:
     """The model of counts (lang, hash, n) of words and of n-grams by length."""
     entries = []
     for own in counts:
         keys, at = np.unique(own["hash"].to_numpy().view(U), return_inverse=True)
         table = np.zeros((len(keys), len(langs)))
-        column = np.array([langs.index(x) for x in own["lang"].to_pylist()], int)
+        column = pc.index_in(own["lang"], value_set=pa.array(langs, pa.string())).to_numpy()
         np.add.at(table, (at, column), own["n"].to_numpy())
         smoothed = (table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(keys)))
         entries.append(Entries(keys, np.log(smoothed).astype(np.float32)))

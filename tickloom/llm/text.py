@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 U = np.uint64
 _STEP, _SPLIT1, _SPLIT2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
@@ -120,7 +120,7 @@ _powers: list[tuple[np.ndarray, np.ndarray]] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers of an odd number and of its inverse modulo 2**64; the largest tables are kept."""
     if not _powers or len(_powers[0][0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         base = 0x5851F42D4C957F2D
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
